@@ -1,11 +1,16 @@
-"""Where intermediate tables go: the folder that the driver and every executor share."""
+"""What the operators share: the folder for intermediate tables, and how columns are added in Python."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _own: list[str] = []
 
@@ -28,3 +33,32 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def check_columns(df: DataFrame, needs: Iterable[str], adds: Iterable[str] = ()) -> None:
+    """An error that names what is missing, or what is there already under a name to be added."""
+    have = {c.lower() for c in df.columns}
+    if missing := sorted(n for n in needs if n.lower() not in have):
+        raise ValueError(f"there are no columns {missing}")
+    if clash := sorted(n for n in adds if n.lower() in have):
+        raise ValueError(f"columns {clash} are there already; give other names")
+
+
+def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], work: Callable) -> DataFrame:
+    """df with more columns: work(values of column) yields a tuple of the new values for each row, in order.
+
+    Rows go to Python in Arrow batches and in slices of 256, so that long texts do not pile up.
+    """
+    check_columns(df, [column], [n for n, _ in fields])
+    kinds = [to_arrow_type(k) for _, k in fields]
+    at = [c.lower() for c in df.columns].index(column.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gc.freeze()  # else each full collection walks all that the operators keep
+            for i in range(0, b.num_rows, 256):
+                made = zip(*work(b.column(at).slice(i, 256).to_pylist()), strict=True)
+                more = [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in b.columns), *more], [*b.schema.names, *(n for n, _ in fields)])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in fields)]))
