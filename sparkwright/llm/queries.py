@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import bpe, secrets
+from sparkwright.llm import bpe, mixing, secrets, urlfilter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,13 +18,47 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+#: The rules (verdict, host, path) and the listed hosts of op4.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+LISTED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(h,) for h in LISTED], "key string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), listed, RULES)
+
+
+OP4_SQL = f"""
+with split as (
+  select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') as host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
+  from pages),
+rules(verdict, h, p) as (values {", ".join(map(str, RULES))}),
+listed(h) as (values {", ".join(f"('{h}')" for h in LISTED)}),
+hosts as (
+  select host, exists (select 1 from listed where host = h or ends_with(host, '.' || h)) as hit
+  from (select distinct host from split)),
+fits as (
+  select page_id, host, path, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict
+  from (select distinct page_id, host, path from split) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+  group by page_id, host, path)
+select s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, case when hosts.hit then 'block' else 'allow' end) as verdict
+from split s join hosts on s.host = hosts.host
+left join fits f on s.page_id is not distinct from f.page_id and s.host = f.host and s.path = f.path
+"""
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_url_filter, op8_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL}
