@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import bpe, mixing, secrets, urlfilter
+from sparkwright.llm import bpe, mixing, secrets, urlfilter, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -48,6 +48,20 @@ left join fits f on s.page_id is not distinct from f.page_id and s.host = f.host
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p)
+select page_id, payload_bytes, payload_digest,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from f
+"""
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
@@ -57,8 +71,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_url_filter, op8_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_url_filter, op7_warc, op8_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL}
