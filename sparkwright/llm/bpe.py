@@ -2,65 +2,76 @@
 
 Encoding reads a piece byte by byte. After any prefix, BPE's result for that prefix has exactly one last token, and a
 token sequence is BPE's result if and only if each neighbouring pair is BPE's result for the pair's own bytes. So the
-result for a prefix is found from the results for shorter prefixes: its last token is the one vocabulary entry that
-ends there and is compatible with the last token before it. What can still matter are the prefix ends at which a
-longer token may yet begin; each has a path of tokens from the point that is settled. A state of the transducer is that
-set of paths (the subset of a nondeterministic transducer's configurations that are alive), with what all paths share
-cut off and emitted. No path reaches back further than the longest token, which bounds both the lookahead and the
-number of states. States and their transitions are made when a text first needs them and kept.
-
-Cases: null and empty texts have no tokens; a text may be of any length (one piece costs time in proportion to its
-bytes); repeated rows are encoded alike; an empty table gives an empty table; other columns are kept, and a column that
-has the name of a result is an error that names it.
+last token at a prefix's end is the one vocabulary entry that ends there and is compatible with the last token where it
+begins. What matters for later bytes are the ends at which a longer entry may still begin: for each, the node of the
+vocabulary's trie reached since and the last token there. The set of these pairs is a state of the determinised
+transducer; a state and its transitions are made when a text first needs them and kept. A state tells the token that ends
+where it is entered. No entry reaches back further than the longest one, so tokens before the point where the paths of
+all open ends meet are settled, and are emitted while the piece is still read: the lookahead is bounded.
+
+Cases: null and empty texts have no tokens; a text may be of any length (a piece costs time in proportion to its bytes);
+repeated rows are encoded alike; an empty table gives an empty table; other columns are kept, and a column that has the
+name of a result is an error that names it.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import gc
 from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkwright.llm.shared import add_columns
+
 
 class State:
-    """A state: the last settled token, the bytes since the oldest live end, and a path for each live end."""
+    """open: (trie node, last token) of each end where a longer entry may begin, the oldest first. token: the one that ends here."""
 
-    __slots__ = ("last", "tail", "paths", "step", "rest")
+    __slots__ = ("open", "back", "token", "step")
 
-    def __init__(self, last: int, tail: bytes, paths: tuple):
-        self.last, self.tail, self.paths = last, tail, paths
-        self.step: dict[int, tuple[State, tuple]] = {}
-        self.rest: tuple = paths[-1][1]  # the tokens still owed if the piece ends here
+    def __init__(self, open_: tuple, back: tuple, token: int):
+        self.open, self.back, self.token, self.step = open_, back, token, {}
 
 
 class Transducer:
     """BPE for one vocabulary of ranks. max_states bounds the memory: beyond it, all states are dropped and made anew as needed."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    #: Bytes after which a long piece's settled tokens are emitted.
+    STRIDE = 4096
+
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.length = {v: len(k) for k, v in ranks.items()}
         self._pair: dict[tuple[int, int], bool] = {}
-        # an entry that merging does not build from its own bytes is never BPE's result for a prefix
-        self.built = {b: r for b, r in ranks.items() if len(b) == 1 or self.merge(b) == [r]}
-        self.prefixes = {b[:i] for b in self.built for i in range(len(b))}
+        self.trie: dict[tuple[int, int], int] = {}  # (node, byte) to node; the root is 0
+        self.entry: dict[int, int] = {}  # node to the token that it spells
+        inner, nodes = set(), 1
+        for piece, rank in ranks.items():
+            # an entry that merging does not build from its own bytes is never BPE's result for a prefix
+            if len(piece) > 1 and self.merge(piece) != [rank]:
+                continue
+            at = 0
+            for byte in piece:
+                inner.add(at)
+                if (to := self.trie.get((at, byte))) is None:
+                    to = self.trie[at, byte] = nodes
+                    nodes += 1
+                at = to
+            self.entry[at] = rank
+        self.inner = inner
+        self.states: dict[tuple, State] = {}
         self._reset()
 
     def _reset(self) -> None:
-        gc.unfreeze()  # the dropped states refer to each other
-        self.states: dict[tuple, State] = {}
-        self.start = self._state(-1, b"", ((0, ()),))
-
-    def _state(self, last: int, tail: bytes, paths: tuple) -> State:
-        key = (last, tail, paths)
-        if (s := self.states.get(key)) is None:
-            s = self.states[key] = State(*key)
-        return s
+        for s in self.states.values():
+            s.step.clear()  # states refer to each other
+        self.start = State(((0, -1),), (0,), -1)
+        self.states = {self.start.open: self.start}
 
     def merge(self, piece: bytes) -> list[int]:
         """The defining procedure, for a token or two: merge the pair of lowest rank, the leftmost of equals, until none is left."""
@@ -77,28 +88,56 @@ class Transducer:
         if left < 0:
             return True
         if (known := self._pair.get((left, right))) is None:
-            if len(self._pair) > 500_000:
+            if len(self._pair) > 300_000:
                 self._pair.clear()
             known = self._pair[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
-    def _extend(self, s: State, byte: int) -> tuple[State, tuple]:
-        """The transition of s on a byte: the next state and the tokens that are now settled."""
-        tail, live, here = s.tail + bytes((byte,)), [], None
-        for back, path in s.paths:
-            token = tail[len(s.tail) - back :]
-            if here is None and (r := self.built.get(token)) is not None and self.compatible(path[-1] if path else s.last, r):
-                here = (*path, r)
-            if token in self.prefixes:
-                live.append((back + 1, path))
-        live.append((0, here))
-        shared = 0
-        while all(len(p) > shared for _, p in live) and len({p[shared] for _, p in live}) == 1:
-            shared += 1
-        out, last = here[:shared], here[shared - 1] if shared else s.last
-        new = self._state(last, tail[len(tail) - live[0][0] :], tuple((b, p[shared:]) for b, p in live))
-        s.step[byte] = new, out
-        return new, out
+    def _extend(self, s: State, byte: int) -> State:
+        """The state after s on a byte, made if need be."""
+        token, open_, back, trie, entry = None, [], [], self.trie, self.entry
+        for (node, last), n in zip(s.open, s.back, strict=True):
+            if (to := trie.get((node, byte))) is not None:
+                if token is None and (r := entry.get(to)) is not None and self.compatible(last, r):
+                    token = r
+                if to in self.inner:
+                    open_.append((to, last))
+                    back.append(n + 1)
+        key = (*open_, (0, token))
+        if (new := self.states.get(key)) is None:
+            new = self.states[key] = State(key, (*back, 0), token)
+        s.step[byte] = new
+        return new
+
+    def _settled(self, tokens: list[int], back: tuple) -> int:
+        """How many bytes of those read lie before the point where the paths of all open ends meet."""
+        ends = {len(tokens) - n for n in back}
+        while len(ends) > 1:
+            ends.remove(last := max(ends))
+            ends.add(last - self.length[tokens[last - 1]])
+        return ends.pop()
+
+    def _path(self, tokens: list[int], end: int) -> list[int]:
+        out = []
+        while end:
+            out.append(t := tokens[end - 1])
+            end -= self.length[t]
+        return out[::-1]
+
+    def pieces(self, piece: bytes) -> Iterator[list[int]]:
+        """The tokens of one piece, in runs: each as soon as it is settled, looked at once in STRIDE bytes."""
+        s, tokens = self.start, []
+        for byte in piece:
+            s = s.step.get(byte) or self._extend(s, byte)
+            tokens.append(s.token)
+            if len(tokens) >= self.STRIDE:
+                if at := self._settled(tokens, s.back):
+                    yield self._path(tokens, at)
+                    del tokens[:at]
+                if len(self.states) > self.max_states:
+                    self._reset()
+                    s = self.states.setdefault(s.open, s)
+        yield self._path(tokens, len(tokens))
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece. A piece that is an entry is that entry, as in the public library."""
@@ -106,18 +145,7 @@ class Transducer:
             return (r,)
         if len(self.states) > self.max_states:
             self._reset()
-        s, out = self.start, []
-        for i, byte in enumerate(piece):
-            if (t := s.step.get(byte)) is None:
-                t = self._extend(s, byte)
-                if i % 4096 == 4095 and len(self.states) > self.max_states:  # a very long piece alone may make many
-                    s = t[0]
-                    self._reset()
-                    t = (self._state(s.last, s.tail, s.paths), t[1])
-            s = t[0]
-            if t[1]:
-                out += t[1]
-        return (*out, *s.rest) if piece else ()
+        return tuple(t for run in self.pieces(piece) for t in run)
 
 
 class Encoder:
@@ -126,6 +154,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
         self.find, self.fst, self.max_pieces = regex.compile(pattern).findall, Transducer(ranks), max_pieces
         self.known: dict[str, tuple[int, ...]] = {}
+        self.whole = StreamDecoder.whole_tokens(self.fst.bytes_of)
 
     def encode(self, text: str | None) -> list[int]:
         known, out = self.known, []
@@ -148,8 +177,20 @@ class StreamDecoder:
     transition, found from the byte automaton when first needed, gives the text to emit and the bytes that wait.
     """
 
-    def __init__(self, bytes_of: dict[int, bytes]):
+    def __init__(self, bytes_of: dict[int, bytes], whole: dict[int, str] | None = None):
         self.bytes_of, self.steps, self.wait = bytes_of, {}, b""
+        self.whole = self.whole_tokens(bytes_of) if whole is None else whole
+
+    @staticmethod
+    def whole_tokens(bytes_of: dict[int, bytes]) -> dict[int, str]:
+        """The transitions from the state in which nothing waits back to itself: tokens of whole characters."""
+        out = {}
+        for t, b in bytes_of.items():
+            try:
+                out[t] = b.decode()
+            except UnicodeDecodeError:
+                pass
+        return out
 
     @staticmethod
     def unfinished(data: bytes) -> int:
@@ -176,7 +217,11 @@ class StreamDecoder:
         return out
 
     def decode(self, tokens: Iterable[int]) -> str:
-        return "".join([*map(self.feed, tokens), self.end()])
+        """All tokens' text. Runs of whole characters take the one transition that they have."""
+        try:
+            return "".join(map(self.whole.__getitem__, tokens))
+        except KeyError:
+            return "".join([*map(self.feed, tokens), self.end()])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -194,55 +239,32 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
     return _encoder(vocabulary, pattern)
 
 
-def _with(df: DataFrame, column: str, names: list[str]) -> None:
-    if column not in df.columns:
-        raise ValueError(f"there is no column {column}")
-    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
-
-
-def _add(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], work) -> DataFrame:
-    """df with more columns, which work(the column's values) yields one row's tuple at a time."""
-    _with(df, column, [n for n, _ in fields])
-    kinds = {T.ArrayType: pa.list_(pa.int32()), T.BinaryType: pa.binary(), T.StringType: pa.string()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gc.freeze()  # else each full collection walks all states
-            values = b.column(b.schema.get_field_index(column))
-            for i in range(0, b.num_rows, 256):
-                made = zip(*work(values.slice(i, 256)), strict=True)
-                more = [pa.array(v, kinds[type(k)]) for v, (_, k) in zip(made, fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in b.columns), *more], [*b.schema.names, *(n for n, _ in fields)])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in fields)]))
-
-
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df and a column of the token ids of each whole text."""
-    return _add(df, text, [(ids, T.ArrayType(T.IntegerType()))], lambda v: ((encoder(vocabulary, pattern).encode(x),) for x in v.to_pylist()))
+    return add_columns(df, text, [(ids, T.ArrayType(T.IntegerType()))], lambda values: ((encoder(vocabulary, pattern).encode(x),) for x in values))
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df and a column of the text that the ids stand for; bytes that are not UTF-8 become U+FFFD, a null becomes empty."""
 
-    def work(v: pa.Array):
-        d = StreamDecoder(encoder(vocabulary, pattern).fst.bytes_of)
-        return ((d.decode(x or ()),) for x in v.to_pylist())
+    def work(values: list) -> Iterator[tuple]:
+        e = encoder(vocabulary, pattern)
+        d = StreamDecoder(e.fst.bytes_of, e.whole)
+        return ((d.decode(x or ()),) for x in values)
 
-    return _add(df, ids, [(text, T.StringType())], work)
+    return add_columns(df, ids, [(text, T.StringType())], work)
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encode() and decode() in one crossing to Python."""
 
-    def work(v: pa.Array):
+    def work(values: list) -> Iterator[tuple]:
         e = encoder(vocabulary, pattern)
-        d = StreamDecoder(e.fst.bytes_of)
-        for x in v.to_pylist():
+        d = StreamDecoder(e.fst.bytes_of, e.whole)
+        for x in values:
             yield (t := e.encode(x)), d.decode(t)
 
-    return _add(df, text, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], work)
+    return add_columns(df, text, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], work)
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
