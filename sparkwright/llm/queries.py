@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwright.llm import bpe, mixing, secrets, urlfilter, warc
+from sparkwright.llm.neardup import NearDup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -48,6 +49,10 @@ left join fits f on s.page_id is not distinct from f.page_id and s.host = f.host
 """
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDup(shingle=4).run(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(_table(spark, sf_dir, "pages"))
 
@@ -71,7 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_url_filter, op7_warc, op8_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_url_filter, op5_near_dup, op7_warc, op8_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
