@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import bpe, mixing, secrets, urlfilter, warc
+from sparkwright.llm import bpe, mixing, quality, secrets, urlfilter, warc
 from sparkwright.llm.neardup import NearDup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: The rules (verdict, host, path) and the listed hosts of op4.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 LISTED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
@@ -76,7 +80,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_url_filter, op5_near_dup, op7_warc, op8_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op4_url_filter, op5_near_dup, op7_warc, op8_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
