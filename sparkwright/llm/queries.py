@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwright.llm import bpe, mixing, quality, secrets, urlfilter, warc
+from sparkwright.llm import ann, bpe, mixing, quality, secrets, topk, urlfilter, warc
 from sparkwright.llm.neardup import NearDup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +24,22 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP3_SQL = """
+with v as (
+  select vec_id, [floor(256 * x::double)::bigint for x in embedding] as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum([a * b for a, b in list_zip(q.e, c.e)])::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+
 #: The rules (verdict, host, path) and the listed hosts of op4.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 LISTED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
@@ -75,12 +92,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op4_url_filter, op5_near_dup, op7_warc, op8_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
