@@ -12,10 +12,11 @@ with a probability near their Jaccard similarity, the more so the nearer the bas
    it, by the likelihood of the two sketches and sizes, if that may reach the threshold (five standard errors allowed).
 4. Proposed links are verified on the sets of the whole texts, and components found by large-star and small-star steps.
 5. Where a bucket's members are now in several components, all pairs across components that may reach the threshold are
-   verified too, large buckets by pairs of parts, and components are found again. So a link between two classes that
-   share a bucket is missed only where the two are in one component anyway.
+   verified too, within the bucket's task, large buckets by pairs of parts; and components are found again. So a link
+   between two classes that share a bucket is missed only where the two are in one component anyway.
 
-No step collects more than two parts of a bucket in one task, and none brings ids, links or components to the driver.
+Pairs of a bucket are never rows of a table. No step has more than two parts of a bucket (`most` members each, and
+`most_hashes` shingles in all) in one task, and none brings ids, links or components to the driver.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words than a
 shingle count as one shingle; texts may be of any length; rows with a null doc_id take no part and have a null component,
@@ -25,12 +26,12 @@ and are kept; rows that repeat a document get the same component; an empty table
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,32 +89,26 @@ class Sketcher:
         """The registers of the union."""
         return np.maximum(a, b)
 
-    def similarity(self, above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-        """The Jaccard similarity that makes it likeliest that `above` registers of a exceed b's and `below` fall short, given the sets' sizes."""
-        u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
-        same, log_b, shrink = self.size - above - below, math.log(self.base), (self.base - 1) / self.base
-
-        def likelihood(j: np.ndarray) -> np.ndarray:
-            p = -np.log1p(-np.maximum(u - v * j, 0) * shrink) / log_b
-            q = -np.log1p(-np.maximum(v - u * j, 0) * shrink) / log_b
-            out = np.zeros_like(j)
-            for count, x in ((above, p), (below, q), (same, 1 - p - q)):
-                out += np.where(count > 0, count * np.log(np.maximum(x, 1e-12)), 0.0)
-            return out
+    def reaches(self, above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+        """Whether the likeliest Jaccard similarity is at least `least`, given how many registers of a exceed b's and fall short, and the sets' sizes.
 
-        low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-        for _ in range(24):  # the likelihood is concave
-            x, y = low + (high - low) / 3, high - (high - low) / 3
-            left = likelihood(x) > likelihood(y)
-            low, high = np.where(left, low, x), np.where(left, y, high)
-        return (low + high) / 2
+        The logarithm of the joint likelihood is concave in the similarity j, so that is where its slope at `least` is not
+        negative. The chance that a register of a is the greater is p(u - v j), with u and v the shares of the sizes.
+        """
+        u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
+        log_b, shrink = math.log(self.base), (self.base - 1) / self.base
+        x, y = np.maximum(u - v * least, 1e-9), np.maximum(v - u * least, 1e-9)
+        p, q = -np.log1p(-x * shrink) / log_b, -np.log1p(-y * shrink) / log_b
+        dp, dq = -v * shrink / ((1 - x * shrink) * log_b), -u * shrink / ((1 - y * shrink) * log_b)
+        same = self.size - above - below
+        return above * dp / p + below * dq / q - same * (dp + dq) / np.maximum(1 - p - q, 1e-9) >= 0
 
 
 class NearDup:
     """Parameters: words in a shingle, the threshold in hundredths, bands, registers in a band, members of a bucket's part."""
 
-    def __init__(self, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, most: int = 4096, base: float = 1.001):
-        self.shingle, self.percent, self.bands, self.rows, self.most = shingle, percent, bands, rows, most
+    def __init__(self, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, most: int = 1024, most_hashes: int = 1 << 21, base: float = 1.001):
+        self.shingle, self.percent, self.bands, self.rows, self.most, self.most_hashes = shingle, percent, bands, rows, most, most_hashes
         self.sketcher = Sketcher(bands * rows, base)
         t = percent / 100
         self.least = t - 5 * math.sqrt(t * (1 - t) / (bands * rows))
@@ -129,78 +124,144 @@ class NearDup:
         return add_columns(docs, "text", [("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("registers", T.BinaryType())], work).drop("text")
 
     def buckets(self, classes: DataFrame) -> DataFrame:
-        """(rep, registers) to (key, n, rep): the members of the buckets that have more than one."""
+        """(rep, n_shingles, registers) to (key, band, parts, rep): the members of the buckets that have more than one."""
         width = 2 * self.rows
-        keys = [F.xxhash64(F.lit(b), F.substring("registers", b * width + 1, width)) for b in range(self.bands)]
-        all_ = classes.select("rep", F.explode(F.array(*keys)).alias("key"))
-        full = all_.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        return all_.join(full, "key")
+        keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("registers", b * width + 1, width)).alias("key")) for b in range(self.bands)]
+        all_ = classes.select("rep", "n_shingles", F.inline(F.array(*keys)))
+        full = all_.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes")).filter("n > 1")
+        parts = F.greatest(F.ceil(F.col("n") / self.most), F.ceil(F.col("hashes") / self.most_hashes)).cast("long")
+        return all_.drop("n_shingles").join(full.select("key", parts.alias("parts")), "key")
 
-    def _groups(self, members: DataFrame, part, extra: list[str]) -> DataFrame:
-        """Members of each distinct part of a bucket, by the part's id `group`."""
-        parts = members.withColumn("part", part).groupBy("key", "part").agg(F.array_sort(F.collect_list("rep")).alias("reps"))
-        parts = parts.filter("size(reps) > 1").select("reps", *extra).distinct()
-        return parts.select(F.xxhash64("reps").alias("group"), F.explode("reps").alias("rep"))
+    @staticmethod
+    def _groups(members: DataFrame, part: Column) -> DataFrame:
+        """(group, band, rep): each part of a bucket, parts with the same members once, with the first of their bands."""
+        parts = members.groupBy("key", "band", part.alias("part")).agg(F.array_sort(F.collect_set("rep")).alias("reps")).filter("size(reps) > 1")
+        parts = parts.groupBy("reps").agg(F.min("band").alias("band"))
+        return parts.select(F.xxhash64("reps", "band").alias("group"), "band", F.explode("reps").alias("rep"))
+
+    def _by_group(self, rows: DataFrame, work: Callable, schema: str) -> DataFrame:
+        """What work(columns by name as arrays, where each group begins and ends) returns, a pair of arrays; groups are whole."""
+        names = rows.columns
+        blobs = {f.name: np.dtype(np.uint16 if f.name == "registers" else np.uint64) for f in rows.schema.fields if isinstance(f.dataType, T.BinaryType)}
+        out = [f.split()[0] for f in schema.split(", ")]
+
+        def column(t: pa.Table, n: str):
+            c = t.column(n)
+            return [np.frombuffer(x, blobs[n]) for x in c.to_pylist()] if n in blobs else c.to_numpy()
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            group = t.column("group").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+            made = work({n: column(t, n) for n in names}, edges)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], out)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                held = t if held is None else pa.concat_tables([held, t])
+                group = held.column("group").to_numpy()
+                if (last := int(np.searchsorted(group, group[-1]))) > 0:
+                    yield done(held.slice(0, last))
+                    held = held.slice(last).combine_chunks()
+            if held is not None and held.num_rows:
+                yield done(held)
+
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(run, schema)
+
+    def _may(self, r: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of rows (i, j) may reach the threshold, by sizes and then by likelihood."""
+        out = 100 * np.minimum(n[i], n[j]) >= self.percent * np.maximum(n[i], n[j])
+        for k in range(0, len(i), 8192):
+            at = k + np.flatnonzero(out[k : k + 8192])
+            x, y = r[i[at]], r[j[at]]
+            out[at] = self.sketcher.reaches((x > y).sum(axis=1), (x < y).sum(axis=1), n[i[at]].astype(float), n[j[at]].astype(float), self.least)
+        return out
 
     def propose(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """Links (a, b), a < b: each member of a part with the most similar one before it."""
-        part = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / self.most).cast("long"))
-        rows = self._groups(members, part, []).join(classes.select("rep", "n_shingles", "registers"), "rep")
+        """Links (a, b), a < b: each member of a part with the most similar one before it, if they may reach the threshold."""
+        part = F.pmod(F.xxhash64("rep", "key"), F.col("parts"))
+        rows = self._groups(members, part).join(classes.select("rep", "n_shingles", "registers"), "rep")
 
-        def work(t: pa.Table) -> pa.Table:
-            rep, n, r = self._matrix(t)
+        def work(t: dict, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            r, n = np.stack(t["registers"]), t["n_shingles"]
             a, b = [], []
-            for i in range(1, len(rep)):
-                near = (r[:i] == r[i]).sum(axis=1)
-                near[self._apart(n[:i], n[i])] = -1
-                j = int(near.argmax())
-                if near[j] >= 0 and self._may(r[j : j + 1], r[i], n[j : j + 1], n[i])[0]:
-                    a.append(rep[j])
-                    b.append(rep[i])
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        return rows.groupBy("group").applyInArrow(work, "a long, b long").distinct()
-
-    def across(self, members: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-        """Links (a, b), a < b: all pairs of a bucket whose components differ and that may reach the threshold."""
-        known = members.join(components, members["rep"] == components["node"], "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                for i in range(low + 1, high):
+                    b.append(i)
+                    a.append(low if i == low + 1 else low + int((r[low:i] == r[i]).sum(axis=1, dtype=np.int32).argmax()))
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            good = self._may(r, n, a, b) if len(a) else np.empty(0, bool)
+            return t["rep"][a[good]], t["rep"][b[good]]
+
+        return self._by_group(rows.select("group", "rep", "n_shingles", "registers"), work, "a long, b long").distinct()
+
+    def _plausible(self, r: np.ndarray, n: np.ndarray, of: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For members of one group, i and those before it in other components that it may reach. A pair that meets in an earlier band is left to that."""
+        ok = 100 * np.minimum(n[:, None], n) >= self.percent * np.maximum(n[:, None], n)
+        ok &= of[:, None] != of
+        for i in range(1, len(n)):
+            at = np.flatnonzero(ok[i, :i])
+            if len(at):
+                equal = r[at] == r[i]
+                near = equal.sum(axis=1, dtype=np.int32) >= 0.8 * self.least * r.shape[1]  # coarse; the likelihood decides
+                at, equal = at[near], equal[near]
+                at = at[equal.reshape(len(at), self.bands, self.rows).all(axis=2).argmax(axis=1) == band]
+                at = at[self._may(r, n, np.full(len(at), i), at)]
+                if len(at):
+                    yield i, at
+
+    def across(self, members: DataFrame, classes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+        """Verified links (a, b) between components.
+
+        First, by sketches, the members that have a plausible partner in another component of a bucket; then those meet
+        again with their sets, and each is compared with all such partners. Pairs stay within the tasks; what leaves
+        them is one link at most for a member and a component.
+        """
+        known = members.join(components, members["rep"] == components["node"], "left").select("key", "band", "parts", "rep", F.coalesce("component", "rep").alias("component"))
         open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        known = known.join(open_, "key")
-        # a bucket of several parts: a member meets each part in the task of the two parts
-        own, count = F.pmod(F.xxhash64("rep"), F.col("parts")), F.ceil(F.col("n") / self.most).cast("long")
-        known = known.withColumn("parts", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        # a bucket of several parts: a member meets each part in the task of the two
+        own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+        known = known.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
-        labels = components.withColumnRenamed("node", "rep")
-        rows = self._groups(known, part, []).join(classes.select("rep", "n_shingles", "registers"), "rep").join(labels, "rep", "left")
-        rows = rows.withColumn("component", F.coalesce("component", "rep"))
-
-        def work(t: pa.Table) -> pa.Table:
-            rep, n, r = self._matrix(t)
-            of = t.column("component").to_numpy()[np.argsort(t.column("rep").to_numpy(), kind="stable")]
+        facts = classes.join(components, classes["rep"] == components["node"], "left").select("rep", "n_shingles", "registers", F.coalesce("component", "rep").alias("component"))
+        rows = self._groups(known, part).join(facts, "rep").select("group", "band", "rep", "n_shingles", "component", "registers")
+
+        def hopeful(t: dict, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            r, n = np.stack(t["registers"]), t["n_shingles"]
+            hit = np.zeros(len(n), bool)
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                for i, at in self._plausible(r[low:high], n[low:high], t["component"][low:high], t["band"][low]):
+                    hit[low + i] = True
+                    hit[low + at] = True
+            return t["group"][hit], t["rep"][hit]
+
+        need = cut(self._by_group(rows, hopeful, "group long, rep long"))
+        sets = docs.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = add_columns(sets, "text", [("hashes", T.BinaryType())], lambda values: ((shingle_set(x, self.shingle).tobytes(),) for x in values))
+        sets = cut(sets.select(F.col("doc_id").alias("rep"), F.length("hashes").alias("bytes"), "hashes").groupBy("rep").agg(F.max(F.struct("bytes", "hashes"))["hashes"].alias("hashes")))
+        again = need.join(rows, ["group", "rep"]).join(sets, "rep").select("group", "band", "rep", "n_shingles", "component", "registers", "hashes")
+
+        def link(t: dict, edges: np.ndarray) -> tuple[list, list]:
+            r, n, rep, of = np.stack(t["registers"]), t["n_shingles"], t["rep"], t["component"]
             a, b = [], []
-            if of.min() < of.max():
-                for i in range(1, len(rep)):
-                    at = np.flatnonzero((of[:i] != of[i]) & ~self._apart(n[:i], n[i]))
-                    at = at[(r[at] == r[i]).sum(axis=1) >= self.least * 0.8 * r.shape[1]]  # coarse; the likelihood decides
-                    if len(at):
-                        at = at[self._may(r[at], r[i], n[at], n[i])]
-                        a += rep[at].tolist()
-                        b += [rep[i]] * len(at)
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        return rows.groupBy("group").applyInArrow(work, "a long, b long").distinct()
-
-    def _matrix(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(rep := t.column("rep").to_numpy(), kind="stable")
-        r = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(len(rep), -1)
-        return rep[order], t.column("n_shingles").to_numpy()[order], r[order]
-
-    def _apart(self, n: np.ndarray, m: int) -> np.ndarray:
-        """Whose sizes alone exclude the threshold."""
-        return 100 * np.minimum(n, m) < self.percent * np.maximum(n, m)
-
-    def _may(self, r: np.ndarray, one: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
-        return self.sketcher.similarity((r > one).sum(axis=1), (r < one).sum(axis=1), n.astype(float), np.full(len(n), float(m))) >= self.least
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                sets = t["hashes"][low:high]
+                names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                ends = np.cumsum([len(s) for s in sets])
+                starts, mark = ends - [len(s) for s in sets], np.zeros(len(names), bool)
+                for i, at in self._plausible(r[low:high], n[low:high], of[low:high], t["band"][low]):
+                    mark[flat[starts[i] : ends[i]]] = True
+                    both = np.array([int(mark[flat[starts[j] : ends[j]]].sum()) for j in at])
+                    mark[flat[starts[i] : ends[i]]] = False
+                    good = at[100 * both >= self.percent * (n[low + i] + n[low + at] - both)]
+                    for j in good[np.unique(of[low + good], return_index=True)[1]]:
+                        a.append(rep[low + j])
+                        b.append(rep[low + i])
+            return a, b
+
+        return self._by_group(again, link, "a long, b long").distinct()
 
     def verify(self, links: DataFrame, docs: DataFrame) -> DataFrame:
         """The links whose sets, from the whole texts, reach the threshold."""
@@ -233,10 +294,9 @@ class NearDup:
         members = cut(self.buckets(classes))
         links = cut(self.verify(cut(self.propose(members, classes)), docs))
         found = components(links)
-        more = cut(self.across(members, classes, found))
+        more = cut(self.across(members, classes, found, docs))
         if not more.isEmpty():
-            links = cut(links.unionByName(self.verify(more, docs)).distinct())
-            found = components(links)
+            found = components(links.unionByName(more))
         of = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("component"))
         out = rows.drop("registers").join(of, F.col("set_key") == F.col("key"), "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
