@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -31,10 +32,10 @@ from sparkwright.llm.shared import add_columns
 class State:
     """open: (trie node, last token) of each end where a longer entry may begin, the oldest first. token: the one that ends here."""
 
-    __slots__ = ("open", "back", "token", "step")
+    __slots__ = ("open", "token", "step")
 
-    def __init__(self, open_: tuple, back: tuple, token: int):
-        self.open, self.back, self.token, self.step = open_, back, token, {}
+    def __init__(self, open_: tuple, token: int):
+        self.open, self.token, self.step = open_, token, {}
 
 
 class Transducer:
@@ -47,30 +48,29 @@ class Transducer:
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
-        self._pair: dict[tuple[int, int], bool] = {}
-        self.trie: dict[tuple[int, int], int] = {}  # (node, byte) to node; the root is 0
-        self.entry: dict[int, int] = {}  # node to the token that it spells
-        inner, nodes = set(), 1
+        self._pair: dict[int, bool] = {}
+        self.kids: list[dict[int, int]] = [{}]  # the trie: of each node, the next by byte
+        self.entry, self.depth = [-1], [0]  # of each node, the token that it spells and its depth
         for piece, rank in ranks.items():
             # an entry that merging does not build from its own bytes is never BPE's result for a prefix
             if len(piece) > 1 and self.merge(piece) != [rank]:
                 continue
             at = 0
             for byte in piece:
-                inner.add(at)
-                if (to := self.trie.get((at, byte))) is None:
-                    to = self.trie[at, byte] = nodes
-                    nodes += 1
+                if (to := self.kids[at].get(byte)) is None:
+                    to = self.kids[at][byte] = len(self.kids)
+                    self.kids.append({})
+                    self.entry.append(-1)
+                    self.depth.append(self.depth[at] + 1)
                 at = to
             self.entry[at] = rank
-        self.inner = inner
         self.states: dict[tuple, State] = {}
         self._reset()
 
     def _reset(self) -> None:
         for s in self.states.values():
             s.step.clear()  # states refer to each other
-        self.start = State(((0, -1),), (0,), -1)
+        self.start = State(((0, -1),), -1)
         self.states = {self.start.open: self.start}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -85,33 +85,34 @@ class Transducer:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two neighbours as they are."""
-        if left < 0:
-            return True
-        if (known := self._pair.get((left, right))) is None:
-            if len(self._pair) > 300_000:
+        known = self._pair.get(key := left << 32 | right)
+        if known is None:
+            if len(self._pair) > 500_000:
                 self._pair.clear()
-            known = self._pair[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._pair[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def _extend(self, s: State, byte: int) -> State:
         """The state after s on a byte, made if need be."""
-        token, open_, back, trie, entry = None, [], [], self.trie, self.entry
-        for (node, last), n in zip(s.open, s.back, strict=True):
-            if (to := trie.get((node, byte))) is not None:
-                if token is None and (r := entry.get(to)) is not None and self.compatible(last, r):
+        token, open_, kids, entry = -1, [], self.kids, self.entry
+        for node, last in s.open:
+            to = kids[node].get(byte)
+            if to is not None:
+                if token < 0 and (r := entry[to]) >= 0 and (last < 0 or self.compatible(last, r)):
                     token = r
-                if to in self.inner:
+                if kids[to]:
                     open_.append((to, last))
-                    back.append(n + 1)
-        key = (*open_, (0, token))
-        if (new := self.states.get(key)) is None:
-            new = self.states[key] = State(key, (*back, 0), token)
+        open_.append((0, token))
+        key = tuple(open_)
+        new = self.states.get(key)
+        if new is None:
+            new = self.states[key] = State(key, token)
         s.step[byte] = new
         return new
 
-    def _settled(self, tokens: list[int], back: tuple) -> int:
+    def _settled(self, tokens: list[int], s: State) -> int:
         """How many bytes of those read lie before the point where the paths of all open ends meet."""
-        ends = {len(tokens) - n for n in back}
+        ends = {len(tokens) - self.depth[node] for node, _ in s.open}
         while len(ends) > 1:
             ends.remove(last := max(ends))
             ends.add(last - self.length[tokens[last - 1]])
@@ -131,7 +132,7 @@ class Transducer:
             s = s.step.get(byte) or self._extend(s, byte)
             tokens.append(s.token)
             if len(tokens) >= self.STRIDE:
-                if at := self._settled(tokens, s.back):
+                if at := self._settled(tokens, s):
                     yield self._path(tokens, at)
                     del tokens[:at]
                 if len(self.states) > self.max_states:
@@ -145,29 +146,41 @@ class Transducer:
             return (r,)
         if len(self.states) > self.max_states:
             self._reset()
-        return tuple(t for run in self.pieces(piece) for t in run)
+        if len(piece) >= self.STRIDE:
+            return tuple(t for run in self.pieces(piece) for t in run)
+        s, tokens = self.start, []
+        for byte in piece:
+            s = s.step.get(byte) or self._extend(s, byte)
+            tokens.append(s.token)
+        return tuple(self._path(tokens, len(tokens)))
+
+
+class _Pieces(dict):
+    """The tokens of pieces already met, `most` of them at most; long pieces are not kept."""
+
+    def __init__(self, fst: Transducer, most: int):
+        super().__init__()
+        self.fst, self.most = fst, most
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        out = self.fst.encode_piece(piece.encode("utf-8", "replace"))
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = out
+        return out
 
 
 class Encoder:
-    """Splits texts by a pattern and encodes each piece; pieces already met are looked up, max_pieces of them at most."""
+    """Splits texts by a pattern and encodes each piece. max_pieces bounds the memory of pieces already met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
-        self.find, self.fst, self.max_pieces = regex.compile(pattern).findall, Transducer(ranks), max_pieces
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 500_000):
+        self.find, self.fst = regex.compile(pattern).findall, Transducer(ranks)
+        self.pieces = _Pieces(self.fst, max_pieces)
         self.whole = StreamDecoder.whole_tokens(self.fst.bytes_of)
 
     def encode(self, text: str | None) -> list[int]:
-        known, out = self.known, []
-        for piece in self.find(text or ""):
-            t = known.get(piece)
-            if t is None:
-                t = self.fst.encode_piece(piece.encode("utf-8", "replace"))
-                if len(piece) <= 64:
-                    if len(known) >= self.max_pieces:
-                        known.clear()
-                    known[piece] = t
-            out += t
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text or ""))))
 
 
 class StreamDecoder:
