@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import ann, bpe, mixing, quality, secrets, topk, urlfilter, warc
+from sparkwright.llm import ann, bpe, mixing, passages, quality, secrets, topk, urlfilter, warc
 from sparkwright.llm.neardup import NearDup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDup(shingle=4).run(_table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(_table(spark, sf_dir, "pages"))
 
@@ -101,7 +105,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op6_passages, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
