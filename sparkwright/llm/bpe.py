@@ -29,13 +29,19 @@ from pyspark.sql import types as T
 from sparkwright.llm.shared import add_columns
 
 
-class State:
-    """open: (trie node, last token) of each end where a longer entry may begin, the oldest first. token: the one that ends here."""
+class State(dict):
+    """The next state by byte, made when first asked for.
 
-    __slots__ = ("open", "token", "step")
+    open: (trie node, last token) of each end where a longer entry may begin, the oldest first. token: the one that ends here.
+    """
+
+    __slots__ = ("fst", "open", "token")
+
+    def __init__(self, fst: Transducer, open_: tuple, token: int):
+        self.fst, self.open, self.token = fst, open_, token
 
-    def __init__(self, open_: tuple, token: int):
-        self.open, self.token, self.step = open_, token, {}
+    def __missing__(self, byte: int) -> State:
+        return self.fst._extend(self, byte)
 
 
 class Transducer:
@@ -51,10 +57,14 @@ class Transducer:
         self._pair: dict[int, bool] = {}
         self.kids: list[dict[int, int]] = [{}]  # the trie: of each node, the next by byte
         self.entry, self.depth = [-1], [0]  # of each node, the token that it spells and its depth
+        self.first: dict[int, int] = {}  # of each entry of more than a byte, the tokens that it is joined from
+        self.second: dict[int, int] = {}
         for piece, rank in ranks.items():
-            # an entry that merging does not build from its own bytes is never BPE's result for a prefix
-            if len(piece) > 1 and self.merge(piece) != [rank]:
-                continue
+            if len(piece) > 1:
+                # an entry that merging does not build from its own bytes is never BPE's result for a prefix
+                if (two := self.halves(piece)) is None:
+                    continue
+                self.first[rank], self.second[rank] = ranks[two[0]], ranks[two[1]]
             at = 0
             for byte in piece:
                 if (to := self.kids[at].get(byte)) is None:
@@ -69,28 +79,45 @@ class Transducer:
 
     def _reset(self) -> None:
         for s in self.states.values():
-            s.step.clear()  # states refer to each other
-        self.start = State(((0, -1),), -1)
+            s.clear()  # states refer to each other
+        self.start = State(self, ((0, -1),), -1)
         self.states = {self.start.open: self.start}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The defining procedure, for a token or two: merge the pair of lowest rank, the leftmost of equals, until none is left."""
+    def halves(self, piece: bytes) -> tuple[bytes, bytes] | None:
+        """The last two parts of a piece as merging joins it: the pair of lowest rank first, the leftmost of equals. None if it does not become one."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > 2:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
-                break
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts[0], parts[1]
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether BPE leaves these two neighbours as they are."""
+        """Whether BPE leaves these two neighbours as they are.
+
+        Undoing the merges on both sides of the border, the later one first, gives every pair that ever met there. A pair
+        that makes an entry of a rank below that of the merge that parted it would have been joined; at equal rank the
+        one further left goes first.
+        """
         known = self._pair.get(key := left << 32 | right)
-        if known is None:
-            if len(self._pair) > 500_000:
-                self._pair.clear()
-            known = self._pair[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return known
+        if known is not None:
+            return known
+        if len(self._pair) > 300_000:
+            self._pair.clear()
+        x, y, before, ranks, bytes_of = left, right, 1 << 60, self.ranks, self.bytes_of
+        while True:
+            if ranks.get(bytes_of[x] + bytes_of[y], 1 << 60) < before:
+                self._pair[key] = False
+                return False
+            a, b = self.second.get(x), self.first.get(y)
+            if a is not None and (b is None or x > y):
+                x, before = a, x
+            elif b is not None:
+                y, before = b, y + 1
+            else:
+                self._pair[key] = True
+                return True
 
     def _extend(self, s: State, byte: int) -> State:
         """The state after s on a byte, made if need be."""
@@ -106,8 +133,8 @@ class Transducer:
         key = tuple(open_)
         new = self.states.get(key)
         if new is None:
-            new = self.states[key] = State(key, token)
-        s.step[byte] = new
+            new = self.states[key] = State(self, key, token)
+        s[byte] = new
         return new
 
     def _settled(self, tokens: list[int], s: State) -> int:
@@ -129,7 +156,7 @@ class Transducer:
         """The tokens of one piece, in runs: each as soon as it is settled, looked at once in STRIDE bytes."""
         s, tokens = self.start, []
         for byte in piece:
-            s = s.step.get(byte) or self._extend(s, byte)
+            s = s[byte]
             tokens.append(s.token)
             if len(tokens) >= self.STRIDE:
                 if at := self._settled(tokens, s):
@@ -150,7 +177,7 @@ class Transducer:
             return tuple(t for run in self.pieces(piece) for t in run)
         s, tokens = self.start, []
         for byte in piece:
-            s = s.step.get(byte) or self._extend(s, byte)
+            s = s[byte]
             tokens.append(s.token)
         return tuple(self._path(tokens, len(tokens)))
 
