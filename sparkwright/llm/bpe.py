@@ -10,8 +10,8 @@ where it is entered. No entry reaches back further than the longest one, so toke
 all open ends meet are settled, and are emitted while the piece is still read: the lookahead is bounded.
 
 Cases: null and empty texts have no tokens; a text may be of any length (a piece costs time in proportion to its bytes);
-repeated rows are encoded alike; an empty table gives an empty table; other columns are kept, and a column that has the
-name of a result is an error that names it.
+repeated rows are encoded alike; an empty table gives an empty table; other columns are kept, save one that has the name
+of a result, which gives way to it.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import check_columns, cut
+from sparkwright.llm.shared import check_columns, cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of the table of sources that may be broadcast; it is joined by shuffle beyond.
@@ -125,7 +125,8 @@ def taken(df: DataFrame, **options) -> DataFrame:
 
 def apply(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix: df's rows, each as often as its unit has copies."""
-    m = mix(df, doc_id, source, text, **options).filter("copies > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "text_hash", "copies")))
-    same = F.col(doc_id).eqNullSafe(F.col("__doc_id")) & F.col(source).eqNullSafe(F.col("__source")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("__text_hash"))
-    out = df.join(m, same).withColumn("__one", F.explode(F.expr("array_repeat(0, __copies)")))
-    return out.select(*(df[c] for c in df.columns))
+    names = [fresh(df, f"mix_{c}") for c in ("doc_id", "source", "text_hash", "copies")]
+    m = mix(df, doc_id, source, text, **options).filter("copies > 0").select("doc_id", "source", "text_hash", "copies").toDF(*names)
+    same = F.col(doc_id).eqNullSafe(F.col(names[0])) & F.col(source).eqNullSafe(F.col(names[1])) & F.xxhash64(F.col(text)).eqNullSafe(F.col(names[2]))
+    out = df.join(m, same)
+    return out.select(*df.columns, F.explode(F.array_repeat(F.lit(0), F.col(names[3]))).alias(one := fresh(df, "mix_one"))).drop(one)

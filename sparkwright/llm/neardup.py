@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.shared import add_columns, check_columns, cut
+from sparkwright.llm.shared import add_columns, check_columns, cut, fresh
 
 
 class _Words(dict):
@@ -304,8 +304,9 @@ class NearDup:
 
     def keep(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """docs without those that have a smaller doc_id in their component."""
-        gone = cut(self.run(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-        return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+        name = fresh(docs, "gone")
+        gone = cut(self.run(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias(name)).distinct())
+        return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@
 Cases: null and empty texts have a zero vector, hence one score; texts may be of any length; rows that repeat an id count
 once in fitting, with the least of their vectors, and are scored each; labels that contradict each other evenly are left
 out, others decided by majority; without labels of both kinds every score is the labels' mean (0.5 without any); an empty
-table gives an empty table. A null doc_id is scored and never held out.
+table gives an empty table. A null doc_id is scored and never held out. A column named as the score gives way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.shared import add_columns, check_columns
+from sparkwright.llm.shared import add_columns, check_columns, fresh
 
 WORD = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -211,5 +211,5 @@ def report(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """docs whose score is at least `least`."""
-    s = scored(docs, labels, score="__score").filter(F.col("__score") >= least)
-    return s.select(*docs.columns)
+    name = fresh(docs, "score")
+    return scored(docs, labels, score=name).filter(F.col(name) >= least).select(*docs.columns)

@@ -6,7 +6,7 @@ digests, UUIDs, numbers and names made of words, are put aside first.
 
 Cases: null and empty texts have no spans; whole texts of any length are read; positions count code points and the end
 is exclusive; spans of one kind never overlap; repeated rows give equal results; an empty table gives an empty table;
-other columns are kept, and one named as a result is an error that names it.
+other columns are kept, and one named as a result gives way to it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.llm.bpe import Encoder, encoder
-from sparkwright.llm.shared import add_columns, check_columns
+from sparkwright.llm.shared import add_columns, check_columns, fresh
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -96,8 +96,9 @@ def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mar
             yield ("".join([*out, x[at:]]) if found else x,)
 
     check_columns(df, [text])
-    new = add_columns(df, text, [("__redacted", T.StringType())], work)
-    return new.select(*(new["__redacted"].alias(c) if c.lower() == text.lower() else new[c] for c in df.columns))
+    name = fresh(df, "redacted")
+    new = add_columns(df, text, [(name, T.StringType())], work)
+    return new.select(*(new[name].alias(c) if c.lower() == text.lower() else new[c] for c in df.columns))
 
 
 def report(df: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -35,23 +35,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def check_columns(df: DataFrame, needs: Iterable[str], adds: Iterable[str] = ()) -> None:
-    """An error that names what is missing, or what is there already under a name to be added."""
+def check_columns(df: DataFrame, needs: Iterable[str]) -> None:
+    """An error that names what is missing."""
     have = {c.lower() for c in df.columns}
     if missing := sorted(n for n in needs if n.lower() not in have):
         raise ValueError(f"there are no columns {missing}")
-    if clash := sorted(n for n in adds if n.lower() in have):
-        raise ValueError(f"columns {clash} are there already; give other names")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a passing column that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], work: Callable) -> DataFrame:
     """df with more columns: work(values of column) yields a tuple of the new values for each row, in order.
 
-    Rows go to Python in Arrow batches and in slices of 256, so that long texts do not pile up.
+    A column of df that has the name of a new one gives way to it. Rows go to Python in Arrow batches and in slices of
+    256, so that long texts do not pile up.
     """
-    check_columns(df, [column], [n for n, _ in fields])
-    kinds = [to_arrow_type(k) for _, k in fields]
+    check_columns(df, [column])
+    kinds, new = [to_arrow_type(k) for _, k in fields], {n.lower() for n, _ in fields}
     at = [c.lower() for c in df.columns].index(column.lower())
+    old = [i for i, c in enumerate(df.columns) if c.lower() not in new]
+    names = [*(df.columns[i] for i in old), *(n for n, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,6 +68,6 @@ def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]]
             for i in range(0, b.num_rows, 256):
                 made = zip(*work(b.column(at).slice(i, 256).to_pylist()), strict=True)
                 more = [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in b.columns), *more], [*b.schema.names, *(n for n, _ in fields)])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 256) for k in old), *more], names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in fields)]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in old), *(T.StructField(n, k) for n, k in fields)]))

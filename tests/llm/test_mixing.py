@@ -1,0 +1,76 @@
+from fractions import Fraction
+
+from sparkwright.llm import mixing
+
+
+def plain_targets(sizes, weights=(1, 2, 3), cap=3):
+    """The rule as stated: share, stop at the cap, share the excess again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, fixed = Fraction(sum(sizes.values())), {}
+    while True:
+        free = [s for s in sizes if s not in fixed]
+        if not free:
+            return fixed
+        level = (total - sum(fixed.values())) / sum(w[s] for s in free)
+        over = [s for s in free if level * w[s] > cap * sizes[s]]
+        if not over:
+            return fixed | {s: level * w[s] for s in free}
+        fixed |= {s: Fraction(cap * sizes[s]) for s in over}
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, source string, text string, copies int")
+
+
+def test_targets(spark):
+    for sizes in ({"a": 10, "b": 1000, "c": 5, None: 80}, {"x": 7}, {"a": 0, "b": 9}, {"é": 100, "z": 3, "A": 50, "B": 1, "C": 0}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        want = plain_targets(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - float(want[s])) < 1e-6 for s in want)
+
+
+def test_words_near_targets(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}", "w " * (1 + i * 7919 % 50), 0) for i in range(3000)]
+    df = docs(spark, rows)
+    out = mixing.taken(df).collect()
+    assert len(out) == 3000
+    by = {}
+    source = {r[0]: r[1] for r in rows}
+    for r in out:
+        assert r.taken % r.size == 0 and r.taken <= 3 * r.size
+        by.setdefault(source[r.doc_id], []).append(r)
+    for rs in by.values():
+        assert sum(r.size for r in rs) == rs[0].source_size
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 51
+    again = mixing.taken(df.repartition(5)).collect()
+    assert sorted(again) == sorted(out)
+
+
+def test_expectation(spark):
+    """Over seeds, each document is taken as often as its share asks."""
+    df = docs(spark, [(i, "a" if i < 20 else "b", "w " * (1 + i % 5), 0) for i in range(40)])
+    total = {}
+    for seed in range(12):
+        for r in mixing.taken(df, seed=seed).collect():
+            total[r.doc_id] = total.get(r.doc_id, 0) + r.taken / r.size - r.target / r.source_size
+    assert abs(sum(total.values()) / 40 / 12) < 0.08
+    assert max(map(abs, total.values())) < 8
+
+
+def test_cases(spark):
+    df = docs(spark, [(1, "a", None, 1), (2, "a", "", 1), (3, None, "x y z", 1), (3, None, "x y z", 1), (None, "b", "one\u00a0word \x0b two", 1), (4, "b", "long " * 200_000, 1), (3, "a", "other words", 1)])
+    out = mixing.taken(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in out) == [(False, 1, 0), (False, 2, 0), (False, 3, 2), (False, 3, 3), (False, 3, 3), (False, 4, 200_000), (True, 0, 2)]
+    twins = [r for r in out if r.doc_id == 3 and r.size == 3]
+    assert twins[0] == twins[1]
+    assert mixing.taken(df.filter("false")).count() == 0
+    mixed = mixing.apply(df)
+    assert mixed.columns == df.columns
+    copies = {(r.doc_id, r.size): r.taken // r.size for r in out if r.size}
+    got = {}
+    for r in mixed.collect():
+        got[r.doc_id, len((r.text or "").split(" ")) if r.doc_id != 4 else 200_000] = got.get((r.doc_id, 0), 0)
+    assert mixed.filter("doc_id = 3 and source is null").count() == 2 * copies[3, 3]
+    assert mixed.filter("doc_id = 4").count() == copies[4, 200_000]

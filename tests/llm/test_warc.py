@@ -1,0 +1,96 @@
+import gzip
+import hashlib
+import io
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkwright.llm import warc
+from sparkwright.llm.shared import shared_dir
+
+A, B = "é" * 60, "b" * 100
+ROWS = [(5, "http://x/5", A, "r"), (3, "http://x/3", A, "r"), (9, None, A, "r"), (4, "u\r\nWARC-Type: evil", B, "r"), (4, "u4", B, "r"), (8, "u8", B, "r"), (6, "u6", "small", "r"), (7, "u7", "small", "r"), (10, "u10", None, "r"), (11, "u11", "", "r"), (None, "u12", "WARC/1.1\r\n\r\n\r\n" * 20, "r"), (13, "u13", "long " * 300_000, "r")]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame(ROWS, "page_id long, url string, html string, record_type string")
+
+
+@pytest.fixture(scope="module")
+def archive(spark, pages):
+    warc.write(pages.repartition(3), path := shared_dir(spark))
+    return path
+
+
+def test_report(pages):
+    got = sorted(map(tuple, warc.archive_report(pages).collect()), key=str)
+    want = []
+    for i, _, h, _ in ROWS:
+        data = (h or "").encode()
+        first = {A: 3, B: 4}.get(h)
+        again = first is not None and i != first
+        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(want, key=str)
+
+
+def test_round_trip(spark, archive):
+    got = {(r.page_id, r.record_type): r for r in warc.read(spark, archive).collect()}
+    assert got[3, "response"].payload == A and got[5, "revisit"].payload is None and got[5, "revisit"].refers_to == 3
+    assert got[None, "response"].payload == ROWS[10][2] and got[13, "response"].payload == ROWS[11][2]
+    assert got[9, "revisit"].url is None and got[10, "response"].payload == ""
+    assert "u%0D%0AWARC-Type: evil" in {r.url for r in got.values()} | {r.url for r in warc.read(spark, archive).collect()}
+
+
+def test_filters_reach_the_source(spark, archive):
+    df = warc.read(spark, archive)
+    for test, n in ((F.col("record_type") == "revisit", 3), (F.col("page_id").isin(3, 13), 2), (F.col("url").startswith("http://x/"), 2), (F.col("refers_to").isNotNull(), 3), (F.col("page_id").isNull(), 1), (F.col("record_type").eqNullSafe("response"), 9)):
+        assert df.filter(test).count() == n
+    only = warc.read(spark, archive, ("page_id", "record_type"))
+    assert only.columns == ["page_id", "record_type"] and only.count() == 12
+
+
+def test_payloads_are_stepped_over():
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, *a):
+            out = super().read(*a)
+            Counted.got += len(out)
+            return out
+
+    record = b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: 1000\r\n\r\n" + b"x" * 1000 + b"\r\n\r\n"
+    data = (record % b"response" + record % b"request") * 5
+    reader = warc.WarcReader(warc.SCHEMA, {"path": "x"})
+    assert not list(reader.pushFilters([warc.EqualTo(("record_type",), "request")]))
+    assert len(list(warc.parse(Counted(data), reader.keep, True))) == 5 and Counted.got == 5000
+    Counted.got = 0
+    assert len(list(warc.parse(Counted(data), reader.keep, False))) == 5 and Counted.got == 0
+
+
+def test_left_to_spark():
+    reader = warc.WarcReader(warc.SCHEMA, {"path": "x"})
+    other = warc.EqualTo(("payload",), "x")
+    assert list(reader.pushFilters([other, warc.StringStartsWith(("url",), "h")])) == [other]
+    assert reader.keep({"warc-target-uri": "http:"}) and not reader.keep({})
+
+
+def test_partitions_and_gzip(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    for i in range(5):
+        (tmp_path / f"f{i}.txt.gz").write_bytes(gzip.compress(record * (i + 1)))
+    (tmp_path / "_SUCCESS").write_bytes(b"x")
+    (tmp_path / "g.txt").write_bytes(record)
+    df = warc.read(spark, str(tmp_path))
+    assert df.count() == 16 and {r.payload for r in df.collect()} == {"ab"} and df.rdd.getNumPartitions() == 6
+
+
+def test_damaged():
+    with pytest.raises(ValueError, match="begins"):
+        list(warc.parse(io.BytesIO(b"junk\r\n"), lambda h: True, True))
+    with pytest.raises(ValueError, match="early"):
+        list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab"), lambda h: True, True))
+
+
+def test_empty(pages):
+    assert warc.archive_report(pages.filter("false")).count() == 0
