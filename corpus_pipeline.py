@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm import bpe, mixing, quality, secrets
 from sparkwright.llm.neardup import NearDup
-from sparkwright.llm.shared import shared_dir
+from sparkwright.llm.shared import fresh, shared_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -29,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret, and n_chars counted again where the text has changed."""
-    out = secrets.redact(docs.withColumn("__text", F.col("text")), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    changed = ~F.col("text").eqNullSafe(F.col("__text"))
+    old = fresh(docs, "old_text")
+    out = secrets.redact(docs.withColumn(old, F.col("text")), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    changed = ~F.col("text").eqNullSafe(F.col(old))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
