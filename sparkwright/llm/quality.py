@@ -72,16 +72,24 @@ class WordVectors:
         self.place = np.argsort(r.random((buckets, size)), axis=1)[:, :ones]
         self.sign = r.choice(np.array([-1, 1], np.int32), (buckets, ones))
         self.sign[0] = 0
+        self.fixed = np.zeros((buckets, size), np.int8)  # the same as rows; 2 * window of them stay within a byte
+        np.put_along_axis(self.fixed, self.place, self.sign.astype(np.int8), axis=1)
 
     def add(self, sums: np.ndarray, texts: list[str | None]) -> None:
         """Adds the texts' contexts to sums (buckets, size + 1), whose last column counts the words."""
         ids, _ = word_ids(texts, self.buckets, self.window)
-        flat, width = sums.reshape(-1), self.size + 1
-        np.add.at(flat, ids * width + self.size, 1)
+        if not len(ids):
+            return
+        own = self.fixed[ids]
+        near = np.zeros_like(own)
         for step in range(1, self.window + 1):
-            for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-                for k in range(self.place.shape[1]):
-                    np.add.at(flat, a * width + self.place[b, k], self.sign[b, k])
+            near[:-step] += own[step:]
+            near[step:] += own[:-step]
+        order = np.argsort(ids.astype(np.uint16 if self.buckets <= 1 << 16 else np.int64), kind="stable")
+        ranked = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        sums[ranked[first], :-1] += np.add.reduceat(near[order], first, axis=0, dtype=np.int32)
+        sums[ranked[first], -1] += np.diff(np.append(first, len(ranked)))
 
     def sums(self, docs: DataFrame) -> np.ndarray:
         """The sums over all texts (column `text`)."""
