@@ -50,7 +50,7 @@ class Transducer:
     #: Bytes after which a long piece's settled tokens are emitted.
     STRIDE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
@@ -103,7 +103,7 @@ class Transducer:
         known = self._pair.get(key := left << 32 | right)
         if known is not None:
             return known
-        if len(self._pair) > 300_000:
+        if len(self._pair) > 150_000:
             self._pair.clear()
         x, y, before, ranks, bytes_of = left, right, 1 << 60, self.ranks, self.bytes_of
         while True:
@@ -183,25 +183,33 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """The tokens of pieces already met, `most` of them at most; long pieces are not kept."""
+    """The tokens of pieces already met, in two generations of `most` pieces at most.
+
+    When the young one is full, the old one is dropped and the young one becomes the old; a piece found there is young
+    again, so frequent pieces stay. Long pieces are not kept.
+    """
 
     def __init__(self, fst: Transducer, most: int):
         super().__init__()
-        self.fst, self.most = fst, most
+        self.fst, self.most, self.old = fst, most, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        out = self.fst.encode_piece(piece.encode("utf-8", "replace"))
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = out
+        out = self.old.get(piece)
+        if out is None:
+            out = self.fst.encode_piece(piece.encode("utf-8", "replace"))
+            if len(piece) > 64:
+                return out
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = out
         return out
 
 
 class Encoder:
     """Splits texts by a pattern and encodes each piece. max_pieces bounds the memory of pieces already met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
         self.find, self.fst = regex.compile(pattern).findall, Transducer(ranks)
         self.pieces = _Pieces(self.fst, max_pieces)
         self.whole = StreamDecoder.whole_tokens(self.fst.bytes_of)
@@ -295,8 +303,8 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", text:
     return add_columns(df, ids, [(text, T.StringType())], work)
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """encode() and decode() in one crossing to Python."""
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop: bool = False) -> DataFrame:
+    """encode() and decode() in one crossing to Python; with drop, without the text."""
 
     def work(values: list) -> Iterator[tuple]:
         e = encoder(vocabulary, pattern)
@@ -304,12 +312,12 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text",
         for x in values:
             yield (t := e.encode(x)), d.decode(t)
 
-    return add_columns(df, text, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], work)
+    return add_columns(df, text, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], work, drop)
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, the number of tokens, and digests of the ids and of what they decode to."""
-    both = round_trip(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), vocabulary, pattern)
+    both = round_trip(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), vocabulary, pattern, drop=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select(
         "doc_id",

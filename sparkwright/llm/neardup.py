@@ -39,10 +39,10 @@ from sparkwright.llm.shared import add_columns, check_columns, cut, fresh
 
 
 class _Words(dict):
-    """64-bit ids of words, the latest million or so kept."""
+    """64-bit ids of words, some 200,000 kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -121,7 +121,7 @@ class NearDup:
                 s = shingle_set(x, self.shingle)
                 yield (len(s), xxhash.xxh3_128_digest(s.tobytes()), self.sketcher.registers(s).tobytes()) if len(s) else (0, None, None)
 
-        return add_columns(docs, "text", [("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("registers", T.BinaryType())], work).drop("text")
+        return add_columns(docs, "text", [("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("registers", T.BinaryType())], work, drop=True)
 
     def buckets(self, classes: DataFrame) -> DataFrame:
         """(rep, n_shingles, registers) to (key, band, parts, rep): the members of the buckets that have more than one."""
@@ -239,7 +239,7 @@ class NearDup:
 
         need = cut(self._by_group(rows, hopeful, "group long, rep long"))
         sets = docs.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = add_columns(sets, "text", [("hashes", T.BinaryType())], lambda values: ((shingle_set(x, self.shingle).tobytes(),) for x in values))
+        sets = add_columns(sets, "text", [("hashes", T.BinaryType())], lambda values: ((shingle_set(x, self.shingle).tobytes(),) for x in values), drop=True)
         sets = cut(sets.select(F.col("doc_id").alias("rep"), F.length("hashes").alias("bytes"), "hashes").groupBy("rep").agg(F.max(F.struct("bytes", "hashes"))["hashes"].alias("hashes")))
         again = need.join(rows, ["group", "rep"]).join(sets, "rep").select("group", "band", "rep", "n_shingles", "component", "registers", "hashes")
 
@@ -282,7 +282,7 @@ class NearDup:
                 both = int((s[1:] == s[:-1]).sum())
                 yield (100 * both >= self.percent * (len(s) - both),)
 
-        return add_columns(pairs, "texts", [("good", T.BooleanType())], work).filter("good").select("a", "b").distinct()
+        return add_columns(pairs, "texts", [("good", T.BooleanType())], work, drop=True).filter("good").select("a", "b").distinct()
 
     def run(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""

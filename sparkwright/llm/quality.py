@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.shared import add_columns, check_columns, fresh
+from sparkwright.llm.shared import add_columns, check_columns, fresh, small_batches
 
 WORD = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -41,7 +41,7 @@ class _Buckets(dict):
         self.count = count
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = 1 + xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) % (self.count - 1)
         return out
@@ -104,6 +104,7 @@ class WordVectors:
             at = np.flatnonzero(total[:, -1])
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(total[at, i])) for i in range(self.size + 1))], ["bucket", *names])
 
+        small_batches(docs.sparkSession)
         parts = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
         t = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
         out = np.zeros((self.buckets, self.size + 1))
@@ -148,7 +149,11 @@ class Network:
         self.flat: float | None = None
 
     def _sums(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) / self.scale) @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3]
+        return np.tanh(self._even(x) @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3]
+
+    def _even(self, x: np.ndarray) -> np.ndarray:
+        """Features at mean 0 and spread 1; what lies far outside the rows of fitting stays near them."""
+        return np.clip((x - self.mean) / self.scale, -5, 5)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
         """By Adam on four fifths of the rows; the temperature on every fifth."""
@@ -156,10 +161,10 @@ class Network:
             self.flat = float(y.mean()) if len(y) else 0.5
             return self
         x, aside = x.astype(np.float64), np.arange(len(y)) % 5 == 4
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
         r = np.random.default_rng(self.seed)
         self.w = [r.normal(0, x.shape[1] ** -0.5, (x.shape[1], self.hidden)), np.zeros(self.hidden), r.normal(0, self.hidden**-0.5, self.hidden), np.zeros(1)]
-        xs, ys = ((x - self.mean) / self.scale)[~aside], y[~aside]
+        xs, ys = self._even(x)[~aside], y[~aside]
         m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         for _ in range(self.rounds):
             order = r.permutation(len(ys))
@@ -198,22 +203,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, words: WordVec
     def work(values: list) -> Iterator[tuple]:
         return ((x,) for x in pool(values, vectors).tolist())
 
-    t = add_columns(rows, "text", [("x", T.ArrayType(T.FloatType()))], work).groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toArrow()
+    t = add_columns(rows, "text", [("x", T.ArrayType(T.FloatType()))], work, drop=True).groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toArrow()
     x = np.array(t.column("x").to_pylist(), np.float32).reshape(t.num_rows, 3 * vectors.shape[1] + 1)
     return vectors, Network().fit(x, (t.column("y").to_numpy() > 0.5).astype(float))
 
 
-def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", score: str = "score", **options) -> DataFrame:
-    """docs and a column of scores, from 0 to 1: the probability that a document's label is 1."""
+def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", score: str = "score", drop: bool = False, **options) -> DataFrame:
+    """docs and a column of scores, from 0 to 1: the probability that a document's label is 1. With drop, without the text."""
     check_columns(docs, [doc_id, text])
     check_columns(labels, ["doc_id", "quality"])
     vectors, network = fit(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels.select("doc_id", "quality"), **options)
-    return add_columns(docs, text, [(score, T.DoubleType())], lambda values: ((x,) for x in network.score(pool(values, vectors)).tolist()))
+    return add_columns(docs, text, [(score, T.DoubleType())], lambda values: ((x,) for x in network.score(pool(values, vectors)).tolist()), drop)
 
 
 def report(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1 if the score is at least `least`)."""
-    s = scored(docs.select("doc_id", "text"), labels)
+    s = scored(docs.select("doc_id", "text"), labels, drop=True)
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 

@@ -67,10 +67,10 @@ def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str]) ->
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found: str = "secrets", most: float = 2.0, known: Iterable[str] = ()) -> DataFrame:
+def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found: str = "secrets", most: float = 2.0, known: Iterable[str] = (), drop: bool = False) -> DataFrame:
     """df and a column of the spans of each whole text: array of (kind, start, end).
 
-    most: strings with fewer characters per token than this count as random. known: strings, few, that are no secrets.
+    most: strings with fewer characters per token than this count as random. known: strings, few, that are no secrets. drop: without the text.
     """
     known = frozenset(known)
 
@@ -78,7 +78,7 @@ def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found
         enc = encoder(vocabulary, pattern)
         return (([{"kind": k, "start": a, "end": b} for k, a, b in spans(x, enc, most, known)],) for x in values)
 
-    return add_columns(df, text, [(found, SPANS)], work)
+    return add_columns(df, text, [(found, SPANS)], work, drop)
 
 
 def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mark: str = "[SECRET]", most: float = 2.0, known: Iterable[str] = ()) -> DataFrame:
@@ -97,13 +97,13 @@ def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mar
 
     check_columns(df, [text])
     name = fresh(df, "redacted")
-    new = add_columns(df, text, [(name, T.StringType())], work)
+    new = add_columns(df, text, [(name, T.StringType())], work, drop=True)
     return new.select(*(new[name].alias(c) if c.lower() == text.lower() else new[c] for c in df.columns))
 
 
 def report(df: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, counts of the kinds known by form, a digest of their spans, and all spans as a string."""
-    found = scan(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), vocabulary, pattern)
+    found = scan(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), vocabulary, pattern, drop=True)
     of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
     line = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     return found.select(

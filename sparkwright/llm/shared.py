@@ -50,16 +50,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], work: Callable) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, unless the session has its own number: texts are long, and a batch is held whole on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
+def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], work: Callable, drop: bool = False) -> DataFrame:
     """df with more columns: work(values of column) yields a tuple of the new values for each row, in order.
 
-    A column of df that has the name of a new one gives way to it. Rows go to Python in Arrow batches and in slices of
-    256, so that long texts do not pile up.
+    A column of df that has the name of a new one gives way to it; with drop, so does the column itself, and need not
+    travel back. Rows go to Python in Arrow batches and in slices of 256, so that long texts do not pile up.
     """
     check_columns(df, [column])
+    small_batches(df.sparkSession)
     kinds, new = [to_arrow_type(k) for _, k in fields], {n.lower() for n, _ in fields}
     at = [c.lower() for c in df.columns].index(column.lower())
-    old = [i for i, c in enumerate(df.columns) if c.lower() not in new]
+    old = [i for i, c in enumerate(df.columns) if c.lower() not in new and not (drop and i == at)]
     names = [*(df.columns[i] for i in old), *(n for n, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
