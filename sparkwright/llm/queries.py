@@ -74,6 +74,24 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDup(shingle=4).run(_table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = f"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) end as sh
+  from w),
+u as (select doc_id, len(sh) as n, unnest(sh) as one from s),
+e as (
+  select a.doc_id as x, b.doc_id as y from u a join u b on a.one = b.one and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(x, y) as (select doc_id, doc_id from s union select r.x, e.y from r join e on r.y = e.x)
+select s.doc_id, len(sh)::bigint as n_shingles, min(r.y) as component_id, min(r.y) = s.doc_id as kept
+from s join r on s.doc_id = r.x group by s.doc_id, sh
+"""
+
+
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(_table(spark, sf_dir, "documents"))
 
@@ -109,4 +127,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL}
+    return {"op3_top_k": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_near_dup": OP5_SQL, "op7_warc": OP7_SQL}

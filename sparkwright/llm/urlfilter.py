@@ -84,8 +84,10 @@ class Level:
 
 def cascade(universe: DataFrame, listed: DataFrame, max_bits: int, max_levels: int) -> list[Level] | None:
     """Levels for the listed keys, exact over the universe; both have distinct `key`s. None if they'd be too large."""
+    both = universe.select("key", F.lit(0).alias("hit")).unionByName(listed.select("key", F.lit(1).alias("hit")))
+    both = cut(both.groupBy("key").agg(F.max("hit").alias("hit")))
+    listed, others = both.filter("hit = 1").select("key"), both.filter("hit = 0").select("key")
     n = listed.count()
-    others = universe.join(listed, "key", "left_anti")
     rest = others.count()
     if not n:
         return []
