@@ -50,7 +50,7 @@ class Transducer:
     #: Bytes after which a long piece's settled tokens are emitted.
     STRIDE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
@@ -209,7 +209,7 @@ class _Pieces(dict):
 class Encoder:
     """Splits texts by a pattern and encodes each piece. max_pieces bounds the memory of pieces already met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 250_000):
         self.find, self.fst = regex.compile(pattern).findall, Transducer(ranks)
         self.pieces = _Pieces(self.fst, max_pieces)
         self.whole = StreamDecoder.whole_tokens(self.fst.bytes_of)
