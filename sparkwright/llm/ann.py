@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.shared import add_columns, check_columns, cut
+from sparkwright.llm.shared import add_columns, check_columns, cut, first_by_hash
 from sparkwright.llm.vectors import Best, blocks, matrix, ranked, search, usable
 
 
@@ -118,7 +118,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 32,
     parts = []
     for size in sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect()):  # one index for each length there is
         same = rows.filter(F.size("embedding") == size)
-        few = same.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(min(sample, (1 << 23) // size)).select("embedding").toArrow()
+        few = first_by_hash(same.select("vec_id", "embedding"), "vec_id", min(sample, (1 << 23) // size)).toArrow()
         index = MultiIndex(matrix(few.column("embedding"), size), centroids)
         entries = cut(add_columns(same, "embedding", [("cell", T.IntegerType())], lambda v, index=index, size=size: ((c,) for c in index.cell(np.array(v, np.float64).reshape(-1, size)).tolist())))
         counts = np.zeros(index.cells, np.int64)

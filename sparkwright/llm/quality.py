@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.shared import add_columns, check_columns, fresh, small_batches
+from sparkwright.llm.shared import add_columns, check_columns, cut, first_by_hash, fresh, small_batches
 
 WORD = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, words: WordVec
     """Word vectors of docs (doc_id, text) and a network fitted to labels (doc_id, quality) that are not held out."""
     vectors = (words or WordVectors()).vectors(docs)
     known = labels.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("y")).filter("doc_id is not null and y <> 0.5")
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = first_by_hash(cut(known.join(docs.select("doc_id"), "doc_id", "left_semi")), "doc_id", sample)
     rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")  # `sample` rows at most
 
     def work(values: list) -> Iterator[tuple]:

@@ -62,7 +62,7 @@ def test_pruning_takes_place():
 
 
 def test_big_numbers(spark):
-    x = [[1e7, 3e7], [2e7, -1e7], [3e7, 1e7], [1.5, 2.5]]
+    x = [[1e6, 3e6], [2e6, -1.0001e6], [3.0001e6, 1e6], [1.5, 2.5]]
     got = topk.top_k(frame(spark, x), asks(), k=3).collect()
     v = [[int(np.floor(256 * np.float64(np.float32(c)))) for c in r] for r in x]
     want = sorted(((sum(a * b for a, b in zip(v[0], v[j], strict=True)), -j) for j in (1, 2, 3)), reverse=True)
