@@ -30,10 +30,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 with v as (
-  select vec_id, [floor(256 * x::double)::bigint for x in embedding] as e from embeddings
+  select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_sum([a * b for a, b in list_zip(q.e, c.e)])::bigint as score
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
 from s qualify rank <= 5
