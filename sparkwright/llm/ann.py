@@ -11,8 +11,8 @@ the share is a parameter.
 Cases: vectors null, empty, zero, or with a null or non-finite component take no part, nor do rows with a null vec_id;
 vectors of different lengths are not compared; rows that repeat a query's vec_id are its own and no candidates of it, and
 the query is asked once; other repeated rows are candidates each; ties go to the smaller vec_id; an empty table gives an
-empty table. If the visited cells hold fewer than k candidates beside the query, all there are are returned: the share
-and `least` count at least k + 1 entries.
+empty table. The share, `least` and k + 1 count one row of the query itself: each further one raises what a query visits by
+one, so k candidates are found wherever the table has them.
 """
 
 from __future__ import annotations
@@ -64,16 +64,16 @@ class MultiIndex:
         a, b = (_distance(h, c).argmin(axis=1) for h, c in zip(self._halves(unit(x)), self.c, strict=True))
         return a * len(self.c[1]) + b
 
-    def visit(self, x: np.ndarray, counts: np.ndarray, enough: float) -> Iterator[np.ndarray]:
-        """For each query, a mask of the cells that it visits."""
+    def visit(self, x: np.ndarray, counts: np.ndarray, enough: float | np.ndarray) -> Iterator[np.ndarray]:
+        """For each query, a mask of the cells that it visits. enough: entries, for all queries or for each."""
         width = len(self.c[1])
         both = [_distance(h, c) for h, c in zip(self._halves(unit(x)), self.c, strict=True)]
-        for a, b in zip(*both, strict=True):
+        for a, b, most in zip(*both, np.broadcast_to(enough, len(x)), strict=True):
             order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
             da, db = a[order[0]].tolist(), b[order[1]].tolist()
             first, second = order[0].tolist(), order[1].tolist()
             mask, heap, seen, found = np.zeros(self.cells, bool), [(da[0] + db[0], 0, 0)], {(0, 0)}, 0
-            while heap and found < enough:
+            while heap and found < most:
                 _, i, j = heapq.heappop(heap)
                 at = first[i] * width + second[j]
                 mask[at] = True
@@ -125,7 +125,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 32,
         for r in entries.groupBy("cell").count().collect():  # a row for each cell
             counts[r["cell"]] = r["count"]
         enough = max(share * counts.sum(), least, k + 1)
-        visits = add_columns(entries.filter("asks").select("vec_id", "embedding"), "embedding", [("cells", T.BinaryType())], lambda v, index=index, size=size, counts=counts, enough=enough: ((np.packbits(m).tobytes(),) for m in index.visit(np.array(v, np.float64).reshape(-1, size), counts, enough)))
+        queries = entries.filter("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        own = entries.groupBy("vec_id").agg(F.count("*").alias("own")).filter("own > 1").withColumnRenamed("vec_id", "of")
+        queries = queries.join(own, F.col("vec_id") == F.col("of"), "left").select("vec_id", "embedding", F.struct("embedding", F.coalesce("own", F.lit(1)).alias("own")).alias("row"))
+
+        def visited(values: list, index: MultiIndex = index, size: int = size, counts: np.ndarray = counts, enough: float = enough) -> Iterator[tuple[bytes]]:
+            x, own = np.array([v["embedding"] for v in values], np.float64).reshape(-1, size), np.array([v["own"] for v in values])
+            return ((np.packbits(m).tobytes(),) for m in index.visit(x, counts, enough + own - 1))
+
+        visits = add_columns(queries, "row", [("cells", T.BinaryType())], visited, drop=True)
         for _, t in blocks(cut(visits), ("cells",)):
             masks = np.unpackbits(np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(t.num_rows, -1), axis=1)[:, : index.cells].astype(bool)
             parts.append(search(entries.select("vec_id", "embedding", "cell"), size, t.column("vec_id").to_numpy(), k, "double", Rerank(matrix(t.column("embedding"), size), masks)))

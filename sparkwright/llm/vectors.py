@@ -66,10 +66,14 @@ class Best:
         self.least[query[full]] = score[full]
 
     def add_matrix(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(row, query number) of those in a matrix of candidates by queries that can be among the best; none is added."""
+        """(row, query number) of those in a matrix of candidates by queries that can be among the best; none is added. The matrix is changed."""
         least = self.least[query]
-        if len(vec) > self.k + 1:  # one may be the query's own row
-            least = np.maximum(least, np.partition(score, -self.k - 1, axis=0)[-self.k - 1])
+        order = np.argsort(self.ids[query], kind="stable")
+        place = np.minimum(np.searchsorted(self.ids[query], vec, sorter=order), len(query) - 1)
+        own = np.flatnonzero(self.ids[query][order[place]] == vec)
+        score[own, order[place[own]]] = -np.inf  # a query's own rows, however many, take no place among its best
+        if len(vec) > self.k:
+            least = np.maximum(least, np.partition(score, -self.k, axis=0)[-self.k])
         row, at = np.nonzero(score >= least - slack)
         return row, query[at]
 

@@ -128,3 +128,27 @@ def test_many_equal_vectors(spark):
     for search in (topk.top_k, ann.nearest):
         got = {(r.query_id, r.rank): r.vec_id for r in search(frame(spark, x).repartition(5), asks()).collect()}
         assert [got[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [got[50, k] for k in range(1, 6)] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
+@pytest.mark.parametrize("rows", [2, 6, 2000])
+def test_repeated_query_rows(spark, search, rows):
+    r = np.random.default_rng(rows)
+    x = r.normal(size=(900, 8)).astype(np.float32)
+    x[1:40] = x[0] + 0.05 * r.normal(size=(39, 8))  # the true neighbours stand where the query's own rows do
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1:] *= 0.9
+    x, ids = np.concatenate((np.repeat(x[:1], rows, axis=0), x[1:])), np.concatenate((np.zeros(rows, np.int64), np.arange(1, 900)))
+    v = np.floor(256 * x.astype(float)).astype(np.int64) if search is topk.top_k else ann.unit(x.astype(float))
+    want = [w[:3] for w in ranks(v[:1] @ v.T, ids, [0])]
+    got = search(frame(spark, x, ids).repartition(1), F.col("vec_id") == 0).collect()
+    assert sorted(tuple(g)[:3] for g in got) == want
+
+
+def test_own_rows_do_not_fill_the_visit(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate((np.ones((5000, 8)), r.normal(size=(300, 8)))).astype(np.float32)
+    ids = np.concatenate((np.zeros(5000, np.int64), np.arange(1, 301)))
+    got = ann.nearest(frame(spark, x, ids), F.col("vec_id") == 0).collect()
+    u = ann.unit(x.astype(float))
+    assert sorted(tuple(g)[:3] for g in got) == [w[:3] for w in ranks(u[:1] @ u.T, ids, [0])]
