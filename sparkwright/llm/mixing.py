@@ -7,8 +7,9 @@ decided. The other goes on. Size times probability summed over a source never ch
 by less than one document. A fold does this within blocks of some 32 documents; each block's undecided document goes to
 the next level's blocks, a reduction tree whose levels are each a shuffle of 1/32 of the rows before. The last is drawn.
 
-A unit is a set of repeated rows (same id, source and text): they share a decision, and weigh as many times. All draws
-are hashes of what meets, so reruns agree, whatever the partitions.
+A unit is a set of repeated rows (same id, source and text). Of r rows with a probability of p each, floor(p * r) are
+taken outright, and the rest of p * r is rounded with the size of one row; the unit's rows are then counted through and the
+first ones taken, as they are interchangeable. All draws are hashes of what meets, so reruns agree, whatever the partitions.
 
 Cases: a null text has size 0, and a document of size 0 is drawn alone, taking no words; a null source is a source of its
 own, last in order; ties and repeated rows as said; an empty table gives an empty table; a size may be up to 2**53 words.
@@ -96,7 +97,7 @@ def decide(units: DataFrame, seed: int = 17, block: int = 32) -> DataFrame:
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """Each unit's copies: doc_id, source, text_hash, rows (how many repeat it), size, source_size, target, copies."""
+    """Each unit: doc_id, source, text_hash, size, rows (how many repeat it), source_size, target, whole (copies of each row), extra (how many rows have one more)."""
     check_columns(df, [doc_id, source, text])
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     units = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text)).alias("text_hash"), size.alias("size"))
@@ -109,24 +110,48 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     whole = F.floor(F.col("share") + 1e-12)
     all_ = units.join(wanted, units["source"].eqNullSafe(wanted["s"])).drop("s").withColumn("share", share)
     all_ = all_.withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(F.col("share") - F.col("whole"), F.lit(0.0)))
-    unit = F.struct("doc_id", "source", "text_hash", "size", "rows", "source_size", "target", "whole").alias("unit")
+    sure = F.floor(F.col("p") * F.col("rows") + 1e-12 * F.col("rows"))
+    all_ = all_.withColumn("sure", sure).withColumn("p", F.greatest(F.col("p") * F.col("rows") - F.col("sure"), F.lit(0.0)))
+    unit = F.struct("doc_id", "source", "text_hash", "size", "rows", "source_size", "target", "whole", "sure").alias("unit")
     open_ = (F.col("p") > 0) & (F.col("size") > 0)
-    drawn = decide(all_.filter(open_).select("source", "n", unit, (F.col("size") * F.col("rows")).cast("double").alias("w"), "p"), seed)
+    drawn = decide(all_.filter(open_).select("source", "n", unit, F.col("size").cast("double").alias("w"), "p"), seed)
     alone = all_.filter(~open_).select(unit, F.when(_draw(F.lit(seed), "doc_id", "text_hash") < F.col("p"), 1).otherwise(0).alias("up"))
     out = drawn.unionByName(alone)
-    return out.select("unit.*", "up").withColumn("copies", F.col("whole") + F.col("up")).drop("whole", "up")
+    return out.select("unit.*", "up").withColumn("extra", F.col("sure") + F.col("up")).drop("sure", "up")
 
 
 def taken(df: DataFrame, **options) -> DataFrame:
     """Per row of df: doc_id, size, source_size, target (both its source's), and the words that the mix takes."""
-    m = mix(df, **options).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.explode(F.expr("array_repeat(0, cast(rows as int))")).alias("one"))
-    return m.drop("one")
+    m = mix(df, **options).select("*", F.posexplode(F.expr("array_repeat(0, cast(rows as int))")).alias("row", "one"))
+    copies = F.col("whole") + (F.col("row") < F.col("extra")).cast("int")
+    return m.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+
+
+def _numbered(rows: DataFrame, unit: list[str], number: str) -> DataFrame:
+    """rows and their numbers from 1 in their unit. Stretches of at most 1,000 rows are numbered apart, so a hot unit meets in no one task."""
+    at, part, before = fresh(rows, "mix_at"), fresh(rows, "mix_part"), fresh(rows, "mix_before")
+    rows = cut(rows.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.floor(F.col(at) / 1000))
+    counts = rows.groupBy(*unit, part).count()
+    back = Window.partitionBy(*unit).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*unit, part]
+    counts = counts.select(*(F.col(c).alias(f"of_{i}") for i, c in enumerate(keys)), F.coalesce(F.sum("count").over(back), F.lit(0)).alias(before))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{i}"))
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(at)))
+    return rows.join(counts, same).withColumn(number, F.col(number) + F.col(before))
 
 
 def apply(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mix: df's rows, each as often as its unit has copies."""
-    names = [fresh(df, f"mix_{c}") for c in ("doc_id", "source", "text_hash", "copies")]
-    m = mix(df, doc_id, source, text, **options).filter("copies > 0").select("doc_id", "source", "text_hash", "copies").toDF(*names)
+    """The mix: df's rows, each as often as it has copies."""
+    names = [fresh(df, f"mix_{c}") for c in ("doc_id", "source", "text_hash", "whole", "extra", "rows")]
+    m = cut(mix(df, doc_id, source, text, **options).filter("whole + extra > 0").select("doc_id", "source", "text_hash", "whole", "extra", "rows").toDF(*names))
+    whole, extra, rows = map(F.col, names[3:])
     same = F.col(doc_id).eqNullSafe(F.col(names[0])) & F.col(source).eqNullSafe(F.col(names[1])) & F.xxhash64(F.col(text)).eqNullSafe(F.col(names[2]))
-    out = df.join(m, same)
-    return out.select(*df.columns, F.explode(F.array_repeat(F.lit(0), F.col(names[3]))).alias(one := fresh(df, "mix_one"))).drop(one)
+    split, one = (extra > 0) & (extra < rows), fresh(df, "mix_one")
+    copied = lambda d, more: d.select(*df.columns, F.explode(F.array_repeat(F.lit(0), (whole + more.cast("int")).cast("int"))).alias(one)).drop(one)
+    out = copied(df.join(m.filter(~split), same), extra > 0)
+    if not (some := m.filter(split)).isEmpty():
+        number = fresh(df, "mix_number")
+        out = out.unionByName(copied(_numbered(df.join(some, same), names[:3], number), F.col(number) <= extra))
+    return out

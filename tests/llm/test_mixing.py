@@ -74,3 +74,24 @@ def test_cases(spark):
         got[r.doc_id, len((r.text or "").split(" ")) if r.doc_id != 4 else 200_000] = got.get((r.doc_id, 0), 0)
     assert mixed.filter("doc_id = 3 and source is null").count() == 2 * copies[3, 3]
     assert mixed.filter("doc_id = 4").count() == copies[4, 200_000]
+
+
+def test_hot_repeated_row_is_split(spark):
+    """A row that makes a third of its source's words: the source is still within a document of its target."""
+    rows = [(1, "a", "w " * 10, k % 2) for k in range(3000)] + [(2 + k, "a", "w " * (1 + k % 19), 0) for k in range(6000)] + [(10_000 + k, "b", "w " * 30, 0) for k in range(900)]
+    df = docs(spark, rows)
+    out = mixing.taken(df).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.source_size, []).append(r)
+    assert len(out) == len(rows) and len(by) == 2
+    for rs in by.values():
+        assert rs[0].target % rs[0].source_size and abs(sum(r.taken for r in rs) - rs[0].target) <= 30
+    hot = [r for r in out if r.doc_id == 1]
+    assert {r.taken for r in hot} == {0, 10}
+    share = hot[0].target / hot[0].source_size
+    assert abs(sum(r.taken for r in hot) - share * 30_000) <= 10
+    mixed = mixing.apply(df)
+    assert mixed.columns == df.columns and mixed.filter("doc_id = 1").count() == sum(r.taken for r in hot) // 10
+    assert mixed.count() == sum(r.taken // r.size for r in out)
+    assert sorted(mixing.taken(df.repartition(5)).collect()) == sorted(out)
