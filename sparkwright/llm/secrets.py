@@ -27,11 +27,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Strings that the test looks at, and those of them that are set aside: digests by length, UUIDs, names of plain or joined words and short numbers.
-STRINGS = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: Strings that the test looks at, and those of them that are set aside: digests by length, UUIDs, and names of plain or joined words and short numbers, if their words compress.
+STRINGS = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: Strings under LONG characters need a ratio below STRICT times that of others.
+LONG, STRICT = 20, 0.9
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 NAME = re.compile(r"(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|)[0-9]{0,4}(?:[+/_=-]+|$))+")
+RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -45,14 +48,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _plain(name: str, enc: Encoder, limit: float) -> bool:
+    """Whether a name's letters compress. Words in capitals have few tokens of their own and are tried in small letters: short ones count so if that is one token."""
+    runs, tokens = RUNS.findall(name), 0
+    for r in runs:
+        n = len(enc.encode(r))
+        if n > 1 and len(r) > 2 and r.isupper() and ((small := len(enc.encode(r.lower()))) == 1 or len(r) > 5):
+            n = min(n, small)
+        tokens += n
+    letters = sum(map(len, runs))
+    return letters < 6 or letters >= limit * tokens
+
+
 def random_spans(text: str, enc: Encoder, most: float, known: frozenset[str]) -> list[tuple[str, int, int]]:
-    """Strings with fewer than `most` characters per token."""
+    """Strings with fewer than `most` characters per token. A string shaped as a name is none only if its letters compress, or are under six."""
     out = []
     for m in STRINGS.finditer(text):
         s = m[0]
-        if s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s) or NAME.fullmatch(s):
+        if s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
             continue
-        if len(s) < most * len(enc.encode(s)):
+        limit = most if len(s) >= LONG else STRICT * most
+        if len(s) < limit * len(enc.encode(s)) and not (NAME.fullmatch(s) and _plain(s, enc, limit)):
             out.append(("random", *m.span()))
     return out
 

@@ -69,3 +69,26 @@ def test_cases(spark, enc):
     texts = [r.text for r in red.orderBy("doc_id").collect()]
     assert texts[0] == "[SECRET]" and texts[1] is None and texts[2] == "" and texts[3].endswith("word [SECRET] tail")
     assert secrets.report(df.filter("false"), *ARGS).count() == 0
+
+
+def test_misses_and_false_alarms(enc):
+    """Random strings of letters, short ones and licence keys are found; names of ordinary words are not."""
+    import random
+    import string
+
+    r = random.Random(4)
+    pick = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    lower, upper, both, digits = string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.digits
+    kinds = [
+        (lambda: pick(lower, r.randrange(17, 38)) + pick(digits, 3), 0.04),
+        (lambda: "-".join(pick(upper, 4) for _ in range(3)) + "-" + pick(digits, 4), 0.02),
+        (lambda: pick(both, r.randrange(20, 41)), 0.01),
+        (lambda: pick(both + digits, 16), 0.01),
+        (lambda: pick(lower, 16), 0.12),
+    ]
+    for make, most in kinds:
+        assert sum(not found(make(), enc) for _ in range(1000)) <= most * 1000
+    words = "account address balance channel customer document element failure handler internal language message network operation password parameter position request response service session station transfer version window".split()
+    shapes = [lambda w: "".join(w), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w) + "_2024", lambda w: "_".join(w).upper(), lambda w: "/".join(w)]
+    for shape in shapes:
+        assert not any(found(shape(r.sample(words, 3)), enc) for _ in range(300))
