@@ -4,6 +4,11 @@ A vocabulary made from text has long tokens for what people write. A random stri
 characters, so its characters per token are few. Strings of known form that look random and are no secrets, such as
 digests, UUIDs, numbers and names made of words, are put aside first.
 
+What the token test looks at: whole runs of letters, digits and + / _ = - that hold a letter and have `shortest` characters
+or more (16 by default, a parameter; a dot or any other sign ends a run, and runs of digits and signs alone are numbers).
+A name is a run whose parts between signs are each a word in small letters or camel case, or in capitals, with up to four
+digits after it. All tests take time in proportion to a run's length.
+
 Cases: null and empty texts have no spans; whole texts of any length are read; positions count code points and the end
 is exclusive; spans of one kind never overlap; repeated rows give equal results; an empty table gives an empty table;
 other columns are kept, and one named as a result gives way to it.
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +33,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Strings that the test looks at, and those of them that are set aside: digests by length, UUIDs, and names of plain or joined words and short numbers, if their words compress.
-STRINGS = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: Runs that the test looks at, and those of them that are set aside: digests by length, UUIDs, and names of plain or joined words and short numbers, if their words compress.
+STRINGS = re.compile(r"[A-Za-z0-9+/_=-]+")
+LETTER = re.compile(r"[A-Za-z]")
 #: Strings under LONG characters need a ratio below STRICT times that of others.
 LONG, STRICT = 20, 0.9
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
-NAME = re.compile(r"(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|)[0-9]{0,4}(?:[+/_=-]+|$))+")
+SIGNS = re.compile(r"[+/_=-]+")
+WORD = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)?[0-9]{0,4}")
 RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -48,6 +56,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _named(s: str) -> bool:
+    """Whether each part between signs is a word, a short number or both."""
+    return all(map(WORD.fullmatch, SIGNS.split(s)))
+
+
 def _plain(name: str, enc: Encoder, limit: float) -> bool:
     """Whether a name's letters compress. Words in capitals have few tokens of their own and are tried in small letters: short ones count so if that is one token."""
     runs, tokens = RUNS.findall(name), 0
@@ -60,51 +73,59 @@ def _plain(name: str, enc: Encoder, limit: float) -> bool:
     return letters < 6 or letters >= limit * tokens
 
 
-def random_spans(text: str, enc: Encoder, most: float, known: frozenset[str]) -> list[tuple[str, int, int]]:
+def random_spans(text: str, enc: Encoder, most: float, known: frozenset[str], shortest: int = 16) -> list[tuple[str, int, int]]:
     """Strings with fewer than `most` characters per token. A string shaped as a name is none only if its letters compress, or are under six."""
     out = []
     for m in STRINGS.finditer(text):
+        if m.end() - m.start() < shortest:
+            continue
         s = m[0]
-        if s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
+        if not LETTER.search(s) or s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
             continue
         limit = most if len(s) >= LONG else STRICT * most
-        if len(s) < limit * len(enc.encode(s)) and not (NAME.fullmatch(s) and _plain(s, enc, limit)):
+        if len(s) < limit * len(enc.encode(s)) and not (_named(s) and _plain(s, enc, limit)):
             out.append(("random", *m.span()))
     return out
 
 
-def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str]) -> list[tuple[str, int, int]]:
+def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str], shortest: int = 16) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind. A random string that meets a span known by form is left to that."""
     if not text:
         return []
     out = base_spans(text)
-    taken = [(a, b) for _, a, b in out]
-    out += [s for s in random_spans(text, enc, most, known) if not any(a < s[2] and s[1] < b for a, b in taken)]
+    taken, k = sorted((a, b) for _, a, b in out), 0
+    reach = list(accumulate((b for _, b in taken), max))  # how far the spans up to each one reach
+    for s in random_spans(text, enc, most, known, shortest):  # by start and without overlap, so k only grows
+        while k < len(taken) and taken[k][0] < s[2]:
+            k += 1
+        if not k or reach[k - 1] <= s[1]:
+            out.append(s)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found: str = "secrets", most: float = 2.0, known: Iterable[str] = (), drop: bool = False) -> DataFrame:
+def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found: str = "secrets", most: float = 2.0, known: Iterable[str] = (), shortest: int = 16, drop: bool = False) -> DataFrame:
     """df and a column of the spans of each whole text: array of (kind, start, end).
 
-    most: strings with fewer characters per token than this count as random. known: strings, few, that are no secrets. drop: without the text.
+    most: strings with fewer characters per token than this count as random. known: strings, few, that are no secrets.
+    shortest: strings of fewer characters are not put to the token test. drop: without the text.
     """
     known = frozenset(known)
 
     def work(values: list):
         enc = encoder(vocabulary, pattern)
-        return (([{"kind": k, "start": a, "end": b} for k, a, b in spans(x, enc, most, known)],) for x in values)
+        return (([{"kind": k, "start": a, "end": b} for k, a, b in spans(x, enc, most, known, shortest)],) for x in values)
 
     return add_columns(df, text, [(found, SPANS)], work, drop)
 
 
-def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mark: str = "[SECRET]", most: float = 2.0, known: Iterable[str] = ()) -> DataFrame:
+def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mark: str = "[SECRET]", most: float = 2.0, known: Iterable[str] = (), shortest: int = 16) -> DataFrame:
     """df with each span of its texts, overlapping ones joined, replaced by the mark. Other texts, and nulls, stay as they are."""
     known = frozenset(known)
 
     def work(values: list):
         enc = encoder(vocabulary, pattern)
         for x in values:
-            found, out, at = spans(x, enc, most, known), [], 0
+            found, out, at = spans(x, enc, most, known, shortest), [], 0
             for _, a, b in found:
                 if a >= at:
                     out += [x[at:a], mark]

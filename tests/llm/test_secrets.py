@@ -92,3 +92,100 @@ def test_misses_and_false_alarms(enc):
     shapes = [lambda w: "".join(w), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w) + "_2024", lambda w: "_".join(w).upper(), lambda w: "/".join(w)]
     for shape in shapes:
         assert not any(found(shape(r.sample(words, 3)), enc) for _ in range(300))
+
+
+@pytest.mark.parametrize("sign", ["=", "-", "_", "+/", "aB", "a1", "A-", "1"])
+def test_rulers_take_linear_time(enc, sign):
+    import time
+
+    began = time.time()
+    for n in (23, 80, 10_000):
+        text = f"text {sign * n}a12345 text and {sign * n}"
+        assert found(text, enc) == plain_random(text)
+    assert time.time() - began < 5
+
+
+def test_many_spans_take_linear_time(enc):
+    import time
+
+    text = " ".join(f"{k:032x} zQ3xV9kLp0RtW7bN2mYc{k}" for k in range(20_000))
+    began = time.time()
+    assert len(found(text, enc)) == 40_000
+    assert time.time() - began < 20
+
+
+def plain_random(text):
+    """The random spans, and those of hex digits, by going through the text sign by sign, with the public library's tokens."""
+    import tiktoken
+
+    global _library
+    if "_library" not in globals():
+        _library = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    count = lambda s: len(_library.encode_ordinary(s))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    out, at = [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32], 0
+    base = list(out)
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in letters + letters.upper() + "0123456789+/_=-":
+            end += 1
+        s = text[at:end]
+        if len(s) >= 16 and any(c.isalpha() for c in s) and not any(a < end and at < b for _, a, b in base):
+            hexed = s.lower().strip("0123456789abcdef") == "" and len(s) in (32, 40, 56, 64, 96, 128)
+            uuid = [len(x) for x in s.split("-")] == [8, 4, 4, 4, 12] and s.lower().replace("-", "").strip("0123456789abcdef") == ""
+            limit = 2.0 if len(s) >= 20 else 1.8
+            if not hexed and not uuid and len(s) < limit * count(s) and not (plain_name(s) and plain_letters(s, count, limit)):
+                out.append(("random", at, end))
+        at = max(end, at + 1)
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def parts(s, keep):
+    """The longest stretches of s of which each sign is in keep."""
+    return "".join(c if c in keep else " " for c in s).split()
+
+
+def plain_name(s):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for part in parts(s, letters + letters.upper() + "0123456789"):
+        word = part.rstrip("0123456789")
+        if len(part) - len(word) > 4 or not all(c.isalpha() for c in word):
+            return False
+        camel = word and word[-1].islower() and not any(a.isupper() and b.isupper() for a, b in zip(word, word[1:], strict=False))
+        if not (word == "" or word.isupper() or camel):
+            return False
+    return True
+
+
+def plain_letters(s, count, limit):
+    runs, now = [], ""
+    for c in s + " ":
+        join = now and c.isalpha() and (c.isupper() == now[-1].isupper() or (len(now) == 1 and now.isupper()))
+        if join or (not now and c.isalpha()):
+            now += c
+        else:
+            if now:
+                runs.append(now)
+            now = c if c.isalpha() else ""
+    tokens = 0
+    for r in runs:
+        n = count(r)
+        if n > 1 and len(r) > 2 and r.isupper() and (count(r.lower()) == 1 or len(r) > 5):
+            n = min(n, count(r.lower()))
+        tokens += n
+    return sum(map(len, runs)) < 6 or sum(map(len, runs)) >= limit * tokens
+
+
+def test_random_spans_like_plain(small, spark, enc):
+    import random
+    import string
+
+    r = random.Random(8)
+    signs = string.ascii_letters * 2 + string.digits + "+/_=-"
+    made = ["".join(r.choice(signs[:k]) for _ in range(r.randrange(10, 40))) for k in (26, 52, 114, 119) for _ in range(300)]
+    made += ["_".join(r.choice(("order", "Total", "SUM", "x1", "a2b", "2024", "")) for _ in range(6)) for _ in range(300)]
+    texts = [" . ".join(made), *made, *(x.text for x in spark.read.parquet(f"{small}/documents.parquet").collect() if x.text)]
+    for t in texts:
+        got = found(t, enc)
+        if not {"assign", "access"} & {s[0] for s in got}:  # the plain version knows of no others
+            assert got == plain_random(t)
