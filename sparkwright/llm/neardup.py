@@ -12,15 +12,17 @@ with a probability near their Jaccard similarity, the more so the nearer the bas
    it, by the likelihood of the two sketches and sizes, if that may reach the threshold (five standard errors allowed).
 4. Proposed links are verified on the sets of the whole texts, and components found by large-star and small-star steps.
 5. Where a bucket's members are now in several components, all pairs across components that may reach the threshold are
-   verified too, within the bucket's task, large buckets by pairs of parts; and components are found again. So a link
-   between two classes that share a bucket is missed only where the two are in one component anyway.
+   verified too, within the bucket's task; and components are found again. In large buckets, each part of the members
+   outside the largest component meets each part of all, so few stragglers cost few rows. A link between two classes that
+   share a bucket is missed only where the two are in one component anyway.
 
 Pairs of a bucket are never rows of a table. No step has more than two parts of a bucket (`most` members each, and
 `most_hashes` shingles in all) in one task, and none brings ids, links or components to the driver.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words than a
-shingle count as one shingle; texts may be of any length; rows with a null doc_id take no part and have a null component,
-and are kept; rows that repeat a document get the same component; an empty table gives an empty table.
+shingle count as one shingle; texts may be of any length; rows with a null doc_id take no part, have a null component and
+count as kept; rows that repeat a document get the same component, and rows with one doc_id and different texts count as
+one document that has the links of both; doc_id is read as a long; an empty table gives an empty table. Sets are compared by their shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,20 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.shared import add_columns, check_columns, cut, fresh
+from sparkwright.llm.shared import add_columns, check_columns, cut, fresh, word_ids
 
 
-class _Words(dict):
-    """64-bit ids of words, some 200,000 kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = _Words()
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -57,7 +48,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(word_ids.__getitem__, words), np.uint64, len(words))
     size = min(n, len(ids))
     out = np.full(len(ids) - size + 1, size, np.uint64)
     for i in range(size):
@@ -219,14 +210,20 @@ class NearDup:
         again with their sets, and each is compared with all such partners. Pairs stay within the tasks; what leaves
         them is one link at most for a member and a component.
         """
-        known = members.join(components, members["rep"] == components["node"], "left").select("key", "band", "parts", "rep", F.coalesce("component", "rep").alias("component"))
-        open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        # a bucket of several parts: a member meets each part in the task of the two
-        own = F.pmod(F.xxhash64("rep"), F.col("parts"))
-        known = known.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
         facts = classes.join(components, classes["rep"] == components["node"], "left").select("rep", "n_shingles", "registers", F.coalesce("component", "rep").alias("component"))
-        rows = self._groups(known, part).join(facts, "rep").select("group", "band", "rep", "n_shingles", "component", "registers")
+        known = members.join(facts.select("rep", "n_shingles", "component"), "rep")
+        sums = known.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
+        sums = sums.groupBy("key").agg(F.max(F.struct("n", "component", "hashes")).alias("of"), F.sum("n").alias("n"), F.sum("hashes").alias("hashes"))
+        left_n, left_hashes = F.col("n") - F.col("of.n"), F.col("hashes") - F.col("of.hashes")
+        pieces = F.greatest(F.ceil(left_n / self.most), F.ceil(left_hashes / self.most_hashes)).cast("long")
+        open_ = sums.filter(left_n > 0).select("key", F.col("of.component").alias("main"), pieces.alias("pieces"))
+        # a part of those outside the bucket's largest component meets each part of all: n * pieces + (n - main) * parts rows
+        own, mine = F.pmod(F.xxhash64("rep"), F.col("parts")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("pieces"))
+        each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+        met = each("pieces", lambda i: i * F.col("parts") + own)
+        met = F.when(F.col("component") == F.col("main"), met).otherwise(F.array_union(met, each("parts", lambda j: mine * F.col("parts") + j)))
+        known = known.join(open_, "key").select("key", "band", "rep", F.explode(met).alias("meeting"))
+        rows = self._groups(known, F.col("meeting")).join(facts, "rep").select("group", "band", "rep", "n_shingles", "component", "registers")
 
         def hopeful(t: dict, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             r, n = np.stack(t["registers"]), t["n_shingles"]
@@ -265,7 +262,8 @@ class NearDup:
 
     def verify(self, links: DataFrame, docs: DataFrame) -> DataFrame:
         """The links whose sets, from the whole texts, reach the threshold."""
-        docs = docs.filter("text is not null")
+        ids = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        docs = cut(docs.filter("text is not null").join(ids, "doc_id", "left_semi").distinct())  # a repeated row once
         pairs = links.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", F.struct("text_a", "text_b").alias("texts"))
 
@@ -284,10 +282,8 @@ class NearDup:
 
         return add_columns(pairs, "texts", [("good", T.BooleanType())], work, drop=True).filter("good").select("a", "b").distinct()
 
-    def run(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""
-        check_columns(docs, [doc_id, text])
-        docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    def _linked(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of docs (doc_id, text): (doc_id, n_shingles, set_key, registers) by row, and (key, component) by set."""
         rows = cut(self.sketches(docs))
         classes = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
         classes = cut(classes)
@@ -298,15 +294,43 @@ class NearDup:
         if not more.isEmpty():
             found = components(links.unionByName(more))
         of = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("component"))
+        return rows, of
+
+    def run(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""
+        check_columns(docs, [doc_id, text])
+        rows, of = self._linked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+        return self._report(rows, of)
+
+    @staticmethod
+    def _report(rows: DataFrame, of: DataFrame) -> DataFrame:
         out = rows.drop("registers").join(of, F.col("set_key") == F.col("key"), "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
     def keep(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """docs without those that have a smaller doc_id in their component."""
+        """docs without those that have a smaller doc_id in their component; of rows that repeat a doc_id and a set, one.
+
+        Of rows without a doc_id, those go whose set a row with one has; of the rest, one stays for each set.
+        """
+        check_columns(docs, [doc_id, text])
+        rows, of = self._linked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
         name = fresh(docs, "gone")
-        gone = cut(self.run(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias(name)).distinct())
-        return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
+        gone = cut(self._report(rows, of).filter("not kept").select(F.col("doc_id").alias(name)).distinct())
+        out = docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
+        twice = cut(rows.filter("set_key is not null").groupBy("doc_id", "set_key").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(name)).distinct())
+        if twice.isEmpty():
+            return out
+        # few rows as a rule: their sets are made again, and one of each is taken by an aggregation
+        same = F.col(doc_id).cast("long").eqNullSafe(F.col(name))
+        key, row, copy = (fresh(docs, n) for n in ("set_key", "row", "set_text"))
+        more = out.join(twice, same, "left_semi").select(F.col(doc_id).cast("long").alias(name), F.col(text).alias(copy), F.struct(*docs.columns).alias(row))
+        more = add_columns(more, copy, [(key, T.BinaryType())], lambda values: ((xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingle_set(x, self.shingle)) else None,) for x in values), drop=True)
+        known = of.select(F.col("key").alias(copy))
+        more = more.join(known, F.col(name).isNull() & (F.col(key) == F.col(copy)), "left_anti")
+        none = more.filter(F.col(key).isNull()).select(f"{row}.*")
+        once = more.filter(F.col(key).isNotNull()).groupBy(name, key).agg(F.first(row).alias(row)).select(f"{row}.*")
+        return out.join(twice, same, "left_anti").unionByName(none).unionByName(once)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +66,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "2000")
 
 
+class WordIds(dict):
+    """64-bit ids of words. Some 50,000 are kept, as a Python worker lives on and serves other operators."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 50_000:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+#: The process's word ids.
+word_ids = WordIds()
+
+
 def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], work: Callable, drop: bool = False) -> DataFrame:
     """df with more columns: work(values of column) yields a tuple of the new values for each row, in order.
 
@@ -81,7 +95,6 @@ def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gc.freeze()  # else each full collection walks all that the operators keep
             for i in range(0, b.num_rows, 256):
                 made = zip(*work(b.column(at).slice(i, 256).to_pylist()), strict=True)
                 more = [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]

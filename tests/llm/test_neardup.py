@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwright.llm import neardup
 from sparkwright.llm.neardup import NearDup, Sketcher, shingle_set
@@ -74,7 +75,7 @@ def test_cases(spark):
     assert got[None] == (57, None, True)
     kept = NearDup(shingle=4).keep(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 7, 8, 9, 20, 20, 30]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [1, 2, 3, 4, 7, 8, 9, 20, 30]
     empty = NearDup().run(df.filter("false"))
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
@@ -123,3 +124,33 @@ def test_shingles():
     assert len(shingle_set("a b c d a b c d", 4)) == 4
     assert len(shingle_set("a b c", 4)) == 1 and len(shingle_set("a", 4)) == 1
     assert len({int(shingle_set(t, 4)[0]) for t in ("a", "a a", "a a a", "a a a a", "a b c")}) == 5
+
+
+def test_straggler_costs_few_rows(spark, monkeypatch):
+    """One large bucket whose members are one component, and one member outside: rows grow by the parts, not by members times parts."""
+    n, parts = 4000, 40
+    nd = NearDup(shingle=4, most=n // parts)
+    text = " ".join(f"w{k}" for k in range(40))
+    classes = spark.range(n).select(F.col("id").alias("rep"), F.lit(37).cast("long").alias("n_shingles"), F.lit(nd.sketcher.registers(shingle_set(text, 4)).tobytes()).alias("registers"))
+    members = classes.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(parts).cast("long").alias("parts"), "rep")
+    found = spark.range(n - 1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    docs = classes.select(F.col("rep").alias("doc_id"), F.lit(text).alias("text"))
+    groups, own = [], NearDup._groups
+
+    def counted(*args):
+        groups.append(out := own(*args))
+        return out
+
+    monkeypatch.setattr(NearDup, "_groups", staticmethod(counted))
+    more = nd.across(members, classes, found, docs).collect()
+    assert groups[0].count() == n + parts - 1
+    assert {r.b for r in more} | {r.a for r in more} >= {n - 1}
+
+
+def test_keep_takes_one_of_repeated_rows(spark):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    rows = [(1, texts[0], {"a": "1"})] * 3 + [(1, texts[1], {})] * 2 + [(None, texts[0], None), (None, texts[0].upper(), None), (None, "ein zwei drei vier fuenf", None), (None, "ein zwei drei VIER fuenf", None), (None, "", None), (2, "", None), (2, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone map<string,string>")
+    out = NearDup().keep(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect()) == sorted([(1, texts[0]), (1, texts[1]), (0, "ein zwei drei vier fuenf"), (0, ""), (2, ""), (2, "")])
