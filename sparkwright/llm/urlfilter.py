@@ -7,8 +7,10 @@ A key of the corpus is listed if and only if the first level that does not take
 for the corpus and costs a few bit tests a row; there is no join, and no filter is larger than its keys' number asks.
 
 Level 1's false positive rate is set so that level 2 has about as many keys as level 1 (listed over others, over the root
-of 2), later ones at 1/2: some 1.44 log2(others / listed) + 5 bits for each listed key in all. Filters go with the plan as
-constants while they are below max_bits; beyond, or with more than `max_levels` levels, listed keys are joined instead.
+of 2), later ones at 1/2, and those of at most `FEW` keys so that most likely none follows: some 1.44 log2(others / listed)
++ 5 bits for each listed key in all. Filters go with the plan as constants, one for each level. Where all would have more
+than `max_bits` bits, keys are dealt into shards by a hash, each with its own cascade, and the pages pass one shard after
+another: what the driver and a task hold stays below max_bits or so, and longer lists cost more passes, but no join.
 
 Cases: a null url, or one without "://", has the empty host and path, fits no rule and is listed only if the empty key is;
 urls may be of any length; repeated rows are judged alike; an empty table gives an empty table; other columns are ignored.
@@ -67,39 +69,40 @@ class Level:
     def fill(self, keys: DataFrame) -> Level:
         """Set the bits of all keys. Each task sends no more rows than the filter has words, and so does the whole."""
         at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
-        rows = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
+        t = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
         self.words = [0] * (self.bits // 64)
-        for r in rows:
-            self.words[r["word"]] = r["bits"]
+        for word, bits in zip(t.column("word").to_pylist(), t.column("bits").to_pylist(), strict=True):
+            self.words[word] = bits
         return self
 
     def takes(self, key: Column) -> Column:
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # a constant once optimised
-        tests = [F.getbit(F.element_at(words, (p / 64).cast("int") + 1), (p % 64).cast("int")) == 1 for p in self.places(key)]
-        out = tests[0]
-        for t in tests[1:]:
-            out &= t
-        return out
-
-
-def cascade(universe: DataFrame, listed: DataFrame, max_bits: int, max_levels: int) -> list[Level] | None:
-    """Levels for the listed keys, exact over the universe; both have distinct `key`s. None if they'd be too large."""
-    both = universe.select("key", F.lit(0).alias("hit")).unionByName(listed.select("key", F.lit(1).alias("hit")))
-    both = cut(both.groupBy("key").agg(F.max("hit").alias("hit")))
-    listed, others = both.filter("hit = 1").select("key"), both.filter("hit = 0").select("key")
-    n = listed.count()
-    rest = others.count()
-    if not n:
-        return []
-    levels: list[Level] = []
-    sides, rate = [listed, others], min(0.5, n / (math.sqrt(2) * max(rest, 1)))
-    while n:
-        level = Level(len(levels) + 1, n, rate)
-        if len(levels) == max_levels or sum(x.bits for x in levels) + level.bits > max_bits:
-            return None
-        levels.append(level.fill(sides[0]))
+
+        def tests(w: Column) -> Column:
+            out = F.lit(True)
+            for p in self.places(key):
+                out &= F.getbit(F.element_at(w, (p / 64).cast("int") + 1), (p % 64).cast("int")) == 1
+            return out
+
+        return F.exists(F.array(words), tests)  # the constant stands once in the plan, whatever the number of tests
+
+
+#: From so many keys on, a level is made so exact that most likely none follows it.
+FEW = 64
+
+
+def cascade(both: DataFrame) -> list[Level]:
+    """Levels that tell the listed keys from the others in both (key, hit: 1 or 0)."""
+    counts = {r["hit"]: r["count"] for r in both.groupBy("hit").count().collect()}
+    sizes = [counts.get(1, 0), counts.get(0, 0)]
+    sides, levels = [both.filter("hit = 1").select("key"), both.filter("hit = 0").select("key")], []
+    rate = min(0.5, sizes[0] / (math.sqrt(2) * max(sizes[1], 1)))
+    while sizes[0]:
+        if sizes[0] <= FEW and levels:
+            rate = min(0.5, 1 / (16 * sizes[1]))
+        levels.append(level := Level(len(levels) + 1, sizes[0], rate).fill(sides[0]))
         sides = [cut(sides[1].filter(level.takes(F.col("key")))), sides[0]]
-        n, rate = sides[0].count(), 0.5
+        sizes, rate = [sides[0].count(), sizes[0]], 0.5
     return levels
 
 
@@ -111,7 +114,7 @@ def member(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", max_bits: int = 1 << 21, max_levels: int = 60) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", max_bits: int = 1 << 25) -> DataFrame:
     """Per page: page_id, host, path, rule, and verdict: the rule's, else block if a key of the host is listed, else allow.
 
     listed: a table of keys (column `key`), hosts in lower case; nulls and repeated ones are ignored.
@@ -119,13 +122,21 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     check_columns(pages, [page_id, url])
     check_columns(listed, ["key"])
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    listed = cut(listed.select("key").filter("key is not null").distinct())
-    universe = cut(rows.select("host").distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct())
-    levels = cascade(universe, listed, max_bits, max_levels)
+    universe = rows.select("host").distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
+    listed = listed.filter("key is not null").select("key", F.lit(1).alias("hit"))
+    both = cut(universe.select("key", F.lit(0).alias("hit")).unionByName(listed).groupBy("key").agg(F.max("hit").alias("hit")))
+    n, others = both.agg(F.sum("hit"), F.sum(1 - F.col("hit"))).first()
+    shards = math.ceil((n or 0) * (1.4427 * max(1.0, math.log2(max((others or 0) / max(n or 0, 1), 1))) + 6) / max_bits)
+
+    def of_shard(key: Column, k: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards)) == k if shards > 1 else F.lit(True)
+
+    def listed_in(levels: list[Level], k: int) -> Column:
+        return F.exists(keys_of(F.col("host")), lambda key: of_shard(key, k) & member(key, levels))
+
+    hit = F.lit(False)
+    for k in range(shards):
+        test = listed_in(cascade(both.filter(of_shard(F.col("key"), k))), k)
+        rows, hit = (cut(rows.withColumn("hit", hit | test)), F.col("hit")) if shards > 1 else (rows, test)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    if levels is None:
-        hosts = rows.select("host").distinct().withColumn("key", F.explode(keys_of(F.col("host")))).join(listed, "key", "left_semi").select("host").distinct()
-        rows = rows.join(hosts.withColumn("hit", F.lit(True)), "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    else:
-        rows = rows.withColumn("hit", F.exists(keys_of(F.col("host")), lambda k: member(k, levels)))
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(hit, "block").otherwise("allow")).alias("verdict"))

@@ -20,22 +20,35 @@ def test_exact_over_its_universe(spark):
 
 
 def test_levels(spark):
-    universe = listed(spark, [f"k{i}" for i in range(5000)])
-    keys = listed(spark, [f"k{i}" for i in range(0, 5000, 50)])
-    levels = urlfilter.cascade(universe, keys, 1 << 21, 60)
-    assert len(levels) > 2
+    universe = listed(spark, [f"k{i}" for i in range(50_000)])
+    keys = listed(spark, [f"k{i}" for i in range(0, 50_000, 50)])
+    levels = urlfilter.cascade(universe.withColumn("hit", (F.substring("key", 2, 9).cast("int") % 50 == 0).cast("int")))
+    assert len(levels) > 4
     hit = {r.key for r in universe.filter(urlfilter.member(F.col("key"), levels)).collect()}
     assert hit == {r.key for r in keys.collect()}
-    assert sum(x.bits for x in levels) < 100 * (1.4427 * math.log2(5000 / 100) + 12) + 64 * len(levels)
+    assert sum(x.bits for x in levels) < 1000 * (1.4427 * math.log2(50) + 6) + 3000
 
 
-@pytest.mark.parametrize("limit", [{"max_bits": 1 << 21}, {"max_bits": 64}, {"max_levels": 1}])
-def test_beyond_the_size_limit(spark, limit):
+@pytest.mark.parametrize("max_bits", [1 << 25, 300])
+def test_shards(spark, max_bits):
+    """Lists beyond the bits of a pass are judged in several, with the same verdicts."""
     pages = spark.createDataFrame([(i, f"http://a.h{i}.org/") for i in range(300)], "page_id long, url string")
-    out = urlfilter.judge(pages, listed(spark, [f"h{i}.org" for i in range(0, 300, 3)]), [], **limit).collect()
+    out = urlfilter.judge(pages, listed(spark, [f"h{i}.org" for i in range(0, 300, 3)]), [], max_bits=max_bits)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    out = out.collect()
     assert len(out) == 300 and all((r.verdict == "block") == (r.page_id % 3 == 0) for r in out)
 
 
+def test_a_million_listed_keys(spark):
+    """Through the cascade: no join in the plan, no wrong verdict, and some 10 bits a key."""
+    pages = spark.range(300_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), (F.col("id") * 7).cast("string"), F.lit(".org/x")).alias("url"))
+    keys = spark.range(0, 2_100_000, 2).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".org")).alias("key"))
+    out = urlfilter.judge(pages, keys, [])
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    wrong = out.filter((F.col("verdict") == "block") != (F.col("page_id") * 7 % 2 == 0)).count()
+    assert wrong == 0 and out.count() == 300_000
+
+
 def test_cases(spark):
     urls = [
         (1, None, "", "", None, "allow"),
