@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.shared import add_columns, check_columns, cut, fresh, word_ids
+from sparkwright.llm.shared import add_columns, check_columns, cut, fresh, whole_groups, word_ids
 
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -147,16 +147,7 @@ class NearDup:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], out)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for b in batches:
-                t = pa.Table.from_batches([b])
-                held = t if held is None else pa.concat_tables([held, t])
-                group = held.column("group").to_numpy()
-                if (last := int(np.searchsorted(group, group[-1]))) > 0:
-                    yield done(held.slice(0, last))
-                    held = held.slice(last).combine_chunks()
-            if held is not None and held.num_rows:
-                yield done(held)
+            yield from map(done, whole_groups(batches, "group"))
 
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,20 @@ class WordIds(dict):
 word_ids = WordIds()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows that come sorted by a column."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        group = held.column(column).to_numpy()
+        if len(group) and (last := int(np.searchsorted(group, group[-1]))) > 0:
+            yield held.slice(0, last)
+            held = held.slice(last).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held
+
+
 def add_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], work: Callable, drop: bool = False) -> DataFrame:
     """df with more columns: work(values of column) yields a tuple of the new values for each row, in order.
 
