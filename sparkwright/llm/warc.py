@@ -7,7 +7,10 @@ Reading, spark.read.format("warc").load(folder): a partition is a run of whole f
 record_type and on the header columns (=, <=>, in, is null, is not null, and starts with) are taken by the source: it
 parses a record's header first and, if a filter does not hold or the payload is not asked for, steps over the payload's
 bytes. Options: columns, the comma-separated columns that are wanted (all by default; others come as null), and glob
-(which files, "*.txt*" by default). Files may be plain or gzip (.gz). Paths are those that pyarrow's file systems open.
+(which files, by commas; .warc and .txt, plain or .gz, by default). It is an error if no file has such a name, and if a file
+ends within a record, whether its payload is read or stepped over. Paths are those that pyarrow's file systems open.
+Spark takes filters to a Python source only where spark.sql.python.filterPushdown.enabled is set when a query is planned, so
+read() sets it for the session.
 
 Columns: page_id (from the record's id), record_type, url, refers_to, payload_length and payload_digest (of the full
 payload, as the header states them), and payload (text; null for a revisit).
@@ -82,15 +85,20 @@ def write(pages: DataFrame, path: str, **options) -> None:
     records(pages, **options).write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def parse(stream: io.BufferedIOBase, keep, want_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(header by lower-case name, payload) of each record that keep(header) accepts; other payloads are stepped over."""
+def parse(stream: io.BufferedIOBase, keep, want_payload: bool, end: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(header by lower-case name, payload) of each record that keep(header) accepts; other payloads are stepped over.
+
+    end: the length of a plain file, beyond which one can step unnoticed.
+    """
     while line := stream.readline():
         if line in (b"\r\n", b"\n"):
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins here: {line[:60]!r}")
         head: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+        while (line := stream.readline()) not in (b"\r\n", b"\n"):
+            if not line:
+                raise ValueError("a record ends early, in its header")
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         size = int(head.get("content-length", 0))
@@ -101,7 +109,9 @@ def parse(stream: io.BufferedIOBase, keep, want_payload: bool) -> Iterator[tuple
                 raise ValueError("a record ends early")
             yield head, data
         else:
-            stream.seek(size, io.SEEK_CUR)
+            to = stream.tell() + size
+            if stream.seek(to) < to or (end is not None and to > end):
+                raise ValueError("a record ends early")
             if good:
                 yield head, None
 
@@ -122,6 +132,10 @@ FIELDS = {
 }
 
 
+#: Which files are read: patterns, by commas.
+GLOB = "*.warc,*.warc.gz,*.txt,*.txt.gz"
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -129,7 +143,7 @@ class Files(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
-        self.schema, self.path, self.glob = schema, options["path"], options.get("glob", "*.txt*")
+        self.schema, self.path, self.glob = schema, options["path"], options.get("glob", GLOB)
         names = options.get("columns", "")
         self.columns = {c.strip() for c in names.split(",")} if names else {f.name for f in schema.fields}
         self.tests: list[tuple[str, str, object]] = []
@@ -162,7 +176,10 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         """Whole files, the largest first, each to the partition with the fewest bytes; some 64 MB to a partition."""
         store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and fnmatch.fnmatch(f.base_name, self.glob) and f.size and not f.base_name.startswith(("_", "."))]
+        found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and any(fnmatch.fnmatch(f.base_name, g.strip()) for g in self.glob.split(",")) and not f.base_name.startswith(("_", "."))]
+        if not found:
+            raise ValueError(f"no file under {self.path} is named as {self.glob}")
+        found = [f for f in found if f.size]
         n = max(1, min(len(found), max(8, sum(f.size for f in found) // (64 << 20))))
         out, load = [[] for _ in range(n)], [0] * n
         for f in sorted(found, key=lambda f: (-f.size, f.path)):
@@ -182,8 +199,9 @@ class WarcReader(DataSourceReader):
 
         for path in partition.paths:
             with store.open_input_file(path) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(_Raw(raw), 1 << 18)
-                for head, data in parse(stream, self.keep, want):
+                packed = path.endswith(".gz")
+                stream = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(_Raw(raw), 1 << 18)
+                for head, data in parse(stream, self.keep, want, None if packed else raw.size()):
                     text = None if data is None or head.get("warc-type") == "revisit" else data.decode("utf-8", "replace")
                     rows.append(tuple(text if n == "payload" else FIELDS[n](head) if n in self.columns else None for n in names))
                     size += len(data or b"") + 500
@@ -244,19 +262,14 @@ def read(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataF
 
 
 def archive_report(pages: DataFrame, **options) -> DataFrame:
-    """Writes the pages' archives to the shared folder and reads them back.
+    """Writes the pages' archives to the shared folder and reads them back: responses whole, and revisits by their headers.
 
     Per page: page_id, payload_bytes and payload_digest (of the full payload: counted from what was read for a response,
     as stated by the header for a revisit), record_type, refers_to.
     """
     spark = pages.sparkSession
     write(pages, path := shared_dir(spark), **options)
-    df = read(spark, path)
-    mine = F.col("record_type") == "response"
-    return df.select(
-        "page_id",
-        F.when(mine, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(mine, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    first = read(spark, path).filter(F.col("record_type") == "response")
+    first = first.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    again = read(spark, path, ("page_id", "record_type", "refers_to", "payload_length", "payload_digest")).filter(F.col("record_type") == "revisit")
+    return first.unionByName(again.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))

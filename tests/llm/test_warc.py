@@ -94,3 +94,30 @@ def test_damaged():
 
 def test_empty(pages):
     assert warc.archive_report(pages.filter("false")).count() == 0
+
+
+RECORD = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 200\r\n\r\n" + b"a" * 200 + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+@pytest.mark.parametrize("columns", [(), ("record_type",)])
+def test_usual_names_and_files_cut_short(spark, tmp_path, name, columns):
+    pack = gzip.compress if name.endswith("gz") else bytes
+    (tmp_path / name).write_bytes(pack(RECORD * 3))
+    assert warc.read(spark, str(tmp_path), columns).count() == 3
+    for lost in (3 + 40, 4 + 200 + 10):
+        (tmp_path / name).write_bytes(pack((RECORD * 3)[:-lost]))
+        with pytest.raises(Exception, match="ends early"):
+            warc.read(spark, str(tmp_path), columns).collect()
+
+
+def test_no_such_file(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(RECORD)
+    with pytest.raises(Exception, match="no file under"):
+        warc.read(spark, str(tmp_path)).collect()
+    assert spark.read.format("warc").option("glob", "*.bin").load(str(tmp_path)).count() == 1
+
+
+def test_the_report_pushes_its_filters(pages):
+    plan = warc.archive_report(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "Filter (" not in plan
