@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cosine: an inverted multi-index.
 
 Vectors are scaled to length 1 and each half is quantised on its own, so that k centroids a half make k * k cells. The
-centroids are fitted to at most `sample` rows (the first by a hash of their id); every row is put into its cell. A query
+centroids are fitted to at most `sample` rows (the first by a hash of the row); every row is put into its cell. A query
 traverses pairs of centroids by the sum of its two squared distances, by a heap over the two sorted lists, until the cells
-visited hold `share` of all entries, or `least` entries. The entries of those cells are reranked by their cosine in doubles.
+visited hold `share` of all entries, or `least` entries. Cells lie in chunks of neighbours; the query goes, with the list of
+those that it visits there, to each chunk that has any, and their entries are reranked by their cosine in doubles.
 
-Of vectors without structure, as in the tests' table, some 0.6 of the entries must be visited for a recall of 0.93 to 0.97;
-the share is a parameter.
+Of vectors without structure, as in the tests' table, some 0.3 of the entries must be visited for a recall of 0.94; the
+share is a parameter.
 
 Cases: vectors null, empty, zero, or with a null or non-finite component take no part, nor do rows with a null vec_id;
 vectors of different lengths are not compared; rows that repeat a query's vec_id are its own and no candidates of it, and
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.llm.shared import add_columns, check_columns, cut, first_by_hash
-from sparkwright.llm.vectors import Best, blocks, matrix, ranked, search, usable
+from sparkwright.llm.vectors import CHUNK, Best, matrix, queries_of, ranked, row_hash, search, usable
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -43,7 +44,7 @@ def _distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class MultiIndex:
     """Centroids of the two halves. The second half has the odd dimension, and is empty for vectors of one."""
 
-    def __init__(self, sample: np.ndarray, k: int = 32, rounds: int = 12, seed: int = 2):
+    def __init__(self, sample: np.ndarray, k: int = 256, rounds: int = 12, seed: int = 2):
         self.half, self.c = max(1, sample.shape[1] // 2), []
         r = np.random.default_rng(seed)
         for h in self._halves(unit(sample)):
@@ -64,77 +65,113 @@ class MultiIndex:
         a, b = (_distance(h, c).argmin(axis=1) for h, c in zip(self._halves(unit(x)), self.c, strict=True))
         return a * len(self.c[1]) + b
 
-    def visit(self, x: np.ndarray, counts: np.ndarray, enough: float | np.ndarray) -> Iterator[np.ndarray]:
-        """For each query, a mask of the cells that it visits. enough: entries, for all queries or for each."""
-        width = len(self.c[1])
+    def visit(self, x: np.ndarray, counts: np.ndarray, enough: float | np.ndarray) -> Iterator[list[int]]:
+        """For each query, the cells with entries that it visits, the nearest first. enough: entries, for all queries or for each."""
+        width, counts = len(self.c[1]), counts.tolist()
         both = [_distance(h, c) for h, c in zip(self._halves(unit(x)), self.c, strict=True)]
-        for a, b, most in zip(*both, np.broadcast_to(enough, len(x)), strict=True):
+        for a, b, most in zip(*both, np.broadcast_to(enough, len(x)).tolist(), strict=True):
             order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
             da, db = a[order[0]].tolist(), b[order[1]].tolist()
-            first, second = order[0].tolist(), order[1].tolist()
-            mask, heap, seen, found = np.zeros(self.cells, bool), [(da[0] + db[0], 0, 0)], {(0, 0)}, 0
+            first, second = (order[0] * width).tolist(), order[1].tolist()
+            # of each row i of the grid, its next column: (i, j) is pushed once (i, j - 1) is taken, and row i + 1 begins when row i does
+            heap, found, out = [(da[0] + db[0], 0, 0)], 0, []
             while heap and found < most:
                 _, i, j = heapq.heappop(heap)
-                at = first[i] * width + second[j]
-                mask[at] = True
-                found += counts[at]
-                for y in ((i + 1, j), (i, j + 1)):
-                    if y[0] < len(da) and y[1] < len(db) and y not in seen:
-                        seen.add(y)
-                        heapq.heappush(heap, (da[y[0]] + db[y[1]], *y))
-            yield mask
+                if n := counts[at := first[i] + second[j]]:
+                    out.append(at)
+                    found += n
+                if j + 1 < len(db):
+                    heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
+                if j == 0 and i + 1 < len(da):
+                    heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+            yield out
 
 
 class Rerank:
-    """A block of queries, the cells that each visits, and how indexed rows are reranked."""
+    """A chunk's entries by cell, and how queries are held against the cells that they visit."""
 
-    def __init__(self, queries: np.ndarray, masks: np.ndarray):
-        self.q, self.unit, self.masks = queries, unit(queries), masks
+    def __init__(self, rows: pa.Table, size: int):
+        cell = rows.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        self.x, self.ids = matrix(rows.column("embedding"), size)[order], rows.column("vec_id").to_numpy()[order]
+        self.u, cell = unit(self.x), cell[order]
+        self.ends = np.flatnonzero(np.append(cell[1:] != cell[:-1], True)) + 1
+        self.cells = cell[self.ends - 1]
 
     def __call__(self, best: Best, rows: pa.Table) -> None:
-        x, ids, cell = matrix(rows.column("embedding"), self.q.shape[1]), rows.column("vec_id").to_numpy(), rows.column("cell").to_numpy()
-        order = np.argsort(cell, kind="stable")
-        x, ids, cell = x[order], ids[order], cell[order]
-        u = unit(x)
-        ends = np.flatnonzero(np.append(cell[1:] != cell[:-1], True)) + 1
-        for low, high in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
-            asks = np.flatnonzero(self.masks[:, cell[low]])
-            if len(asks):
-                near = u[low:high] @ self.unit[asks].T
-                row, query = best.add_matrix(asks, ids[low:high], near, 1e-9)
-                best.add(query, ids[low + row], cosine(x[low + row], self.q[query]))
+        q = matrix(rows.column("embedding"), self.x.shape[1])
+        u, cells = unit(q), rows.column("cells").combine_chunks()
+        asks = np.zeros((len(q), len(self.cells)), bool)
+        who = np.repeat(np.arange(len(q)), np.diff(cells.offsets.to_numpy()))
+        which = cells.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(self.cells, which), len(self.cells) - 1)
+        here = self.cells[at] == which
+        asks[who[here], at[here]] = True
+        for c, (low, high) in enumerate(zip(np.concatenate(([0], self.ends[:-1])), self.ends, strict=True)):
+            visits = np.flatnonzero(asks[:, c])
+            if len(visits):
+                near = self.u[low:high] @ u[visits].T
+                row, query = best.add_matrix(visits, self.ids[low:high], near, 1e-9)
+                best.add(query, self.ids[low + row], cosine(self.x[low + row], q[query]))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows with rows. Sums are taken in one order wherever a row stands, so equal vectors tie."""
+    """Of rows with rows. Sums are taken in one order wherever a row stands, so equal vectors tie; each row is first divided by a power of two, which changes no digit, so that no square overflows."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 32, sample: int = 20_000, share: float = 0.6, least: int = 1000, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _chunks(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell, its chunk and among how many chunks from there on its entries are dealt: neighbouring cells share one while they fit."""
+    first, deal = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    chunk, load = 0, 0
+    for c, n in enumerate(counts.tolist()):
+        if load and load + n > most:
+            chunk, load = chunk + 1, 0
+        first[c], deal[c] = chunk, max(1, -(-n // most))
+        load += n
+        if deal[c] > 1:
+            chunk, load = chunk + int(deal[c]), 0
+    return first, deal
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 256, sample: int = 20_000, share: float = 0.3, least: int = 1000, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query picks, the k other rows of largest cosine that were found."""
     check_columns(rows, [vec_id, embedding])
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asks"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
-    parts = []
+    rows = cut(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)))
+    found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     for size in sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect()):  # one index for each length there is
-        same = rows.filter(F.size("embedding") == size)
-        few = first_by_hash(same.select("vec_id", "embedding"), "vec_id", min(sample, (1 << 23) // size)).toArrow()
-        index = MultiIndex(matrix(few.column("embedding"), size), centroids)
-        entries = cut(add_columns(same, "embedding", [("cell", T.IntegerType())], lambda v, index=index, size=size: ((c,) for c in index.cell(np.array(v, np.float64).reshape(-1, size)).tolist())))
-        counts = np.zeros(index.cells, np.int64)
-        for r in entries.groupBy("cell").count().collect():  # a row for each cell
-            counts[r["cell"]] = r["count"]
-        enough = max(share * counts.sum(), least, k + 1)
-        queries = entries.filter("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-        own = entries.groupBy("vec_id").agg(F.count("*").alias("own")).filter("own > 1").withColumnRenamed("vec_id", "of")
-        queries = queries.join(own, F.col("vec_id") == F.col("of"), "left").select("vec_id", "embedding", F.struct("embedding", F.coalesce("own", F.lit(1)).alias("own")).alias("row"))
-
-        def visited(values: list, index: MultiIndex = index, size: int = size, counts: np.ndarray = counts, enough: float = enough) -> Iterator[tuple[bytes]]:
-            x, own = np.array([v["embedding"] for v in values], np.float64).reshape(-1, size), np.array([v["own"] for v in values])
-            return ((np.packbits(m).tobytes(),) for m in index.visit(x, counts, enough + own - 1))
-
-        visits = add_columns(queries, "row", [("cells", T.BinaryType())], visited, drop=True)
-        for _, t in blocks(cut(visits), ("cells",)):
-            masks = np.unpackbits(np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(t.num_rows, -1), axis=1)[:, : index.cells].astype(bool)
-            parts.append(search(entries.select("vec_id", "embedding", "cell"), size, t.column("vec_id").to_numpy(), k, "double", Rerank(matrix(t.column("embedding"), size), masks)))
-    return ranked(parts, k, rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double"))
+        found = found.unionByName(_nearest(rows.filter(F.size("embedding") == size), size, k, centroids, sample, share, least))
+    return ranked(found, k)
+
+
+def _nearest(same: DataFrame, size: int, k: int, centroids: int, sample: int, share: float, least: int) -> DataFrame:
+    """(query_id, vec_id, score) for vectors of one length."""
+    few = first_by_hash(same.select("vec_id", "embedding", row_hash().alias("hash")), "hash", min(sample, (1 << 23) // size)).toArrow()
+    index = MultiIndex(matrix(few.column("embedding"), size), centroids)
+    entries = cut(add_columns(same, "embedding", [("cell", T.IntegerType())], lambda v: ((c,) for c in index.cell(np.array(v, np.float64).reshape(-1, size)).tolist())))
+    counts = np.zeros(index.cells, np.int64)
+    for r in entries.groupBy("cell").count().collect():  # a row for each cell
+        counts[r["cell"]] = r["count"]
+    enough = max(share * counts.sum(), least, k + 1)
+    first, deal = _chunks(counts, max(1, CHUNK // size))
+    own = entries.groupBy("vec_id").agg(F.count("*").alias("own")).filter("own > 1").withColumnRenamed("vec_id", "of")
+    queries = queries_of(entries).join(own, F.col("query_id") == F.col("of"), "left").select("query_id", "embedding", F.struct("embedding", F.coalesce("own", F.lit(1)).alias("own")).alias("row"))
+
+    def visited(values: list) -> Iterator[tuple[list]]:
+        x, own = np.array([v["embedding"] for v in values], np.float64).reshape(-1, size), np.array([v["own"] for v in values])
+        for cells in index.visit(x, counts, enough + own - 1):
+            by: dict[int, list[int]] = {}
+            for c in cells:
+                for i in range(first[c], first[c] + deal[c]):
+                    by.setdefault(int(i), []).append(c)
+            yield ([{"chunk": i, "cells": c} for i, c in by.items()],)
+
+    kind = T.ArrayType(T.StructType([T.StructField("chunk", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    asks = add_columns(queries, "row", [("visits", kind)], visited, drop=True)
+    asks = asks.select("query_id", "embedding", F.inline("visits"), F.lit(None).cast("double").alias("least"))
+    listed = lambda a: F.split(F.lit(",".join(map(str, a.tolist()))), ",").cast("array<bigint>")
+    place = lambda a: F.element_at(listed(a), F.col("cell") + 1)
+    entries = entries.select((place(first) + F.pmod(row_hash(), place(deal))).alias("chunk"), "vec_id", "embedding", "cell")
+    return search(entries, asks, k, "double", lambda t: Rerank(t, size))

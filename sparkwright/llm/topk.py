@@ -1,10 +1,13 @@
 """Exact search for the largest inner products, by norm buckets.
 
-A task sorts its candidates by length and cuts them into buckets. For a query, the k-th best product so far over the
-query's length and a bucket's greatest length is the least cosine that a candidate of that bucket needs: its local
-threshold. Above 1, the bucket is passed over. If it is high, coordinates prune: a candidate whose cosine reaches it has
-each coordinate (of the unit vector) within an interval around the query's, and those with the query's largest coordinates
-outside are dropped. Else lengths prune: only the candidates long enough are taken. What is left is verified by its product.
+1. Candidates are cut by length into `buckets` buckets of about equal numbers (fewer where lengths are equal), and these
+   into chunks. Each query goes to the chunks of the longest bucket first, which gives it a k-th best product.
+2. That product over the query's length and a bucket's greatest length is the least cosine that a candidate of the bucket
+   needs: its local threshold. Above 1, the query does not go to that bucket's chunks at all.
+3. Within a chunk the same is done for stretches of `bucket` candidates by length, with the best found so far. If the local
+   threshold is high, coordinates prune: a candidate whose cosine reaches it has each coordinate (of the unit vector) within
+   an interval around the query's, and those with the query's largest coordinates outside are dropped. Else lengths prune:
+   only the candidates long enough are taken. What is left is verified by its product.
 
 Products are of integers: components are floor(scale * x). They are computed in doubles where no sum can pass 2**53,
 and in Python's integers otherwise; a product beyond 64 bits is returned as the nearest 64-bit number.
@@ -21,31 +24,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import check_columns
-from sparkwright.llm.vectors import Best, blocks, matrix, ranked, search, usable
+from sparkwright.llm.shared import check_columns, cut
+from sparkwright.llm.vectors import CHUNK, Best, matrix, queries_of, ranked, row_hash, search, usable
 
 SLACK = 1e-9  # of rounding in cosines; pruning errs to the safe side by it
 
 
+def length(x: np.ndarray) -> np.ndarray:
+    """Of rows; the largest component is divided out first, so that no square overflows."""
+    most = np.maximum(np.abs(x).max(axis=1, initial=0), 1e-300)
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
 class Search:
-    """A block of queries (integers as doubles) and how a table of candidates is searched. bucket: rows of a bucket; turn: the local threshold from which coordinates prune; focus: how many."""
+    """A chunk of candidates by length, and how queries are held against it. bucket: candidates of a stretch; turn: the local threshold from which coordinates prune; focus: how many."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, scale: float, bucket: int = 1024, turn: float = 0.8, focus: int = 3):
+        self.scale, self.bucket, self.turn, self.focus = scale, bucket, turn, focus
+        p = np.floor(scale * rows)
+        norm = length(p)
+        order = np.argsort(-norm, kind="stable")
+        self.p, self.ids, self.length = p[order], ids[order], norm[order]
+        self.big = float(np.abs(p).max(initial=0))
 
-    def __init__(self, queries: np.ndarray, scale: float, bucket: int = 1024, turn: float = 0.8, focus: int = 3):
-        self.scale, self.bucket, self.turn = scale, bucket, turn
-        self.q, self.norm = queries, np.linalg.norm(queries, axis=1)
+    def ask(self, queries: np.ndarray) -> None:
+        self.q, self.norm = queries, length(queries)
         self.unit = queries / np.maximum(self.norm, 1e-300)[:, None]
-        self.top = np.argsort(-np.abs(self.unit), axis=1)[:, :focus]
+        self.top = np.argsort(-np.abs(self.unit), axis=1)[:, : self.focus]
         self.angle = np.arccos(np.clip(np.take_along_axis(self.unit, self.top, axis=1), -1, 1))
-        self.most = float(np.abs(queries).max(initial=0))
 
     def __call__(self, best: Best, rows: pa.Table) -> None:
-        p = np.floor(self.scale * matrix(rows.column("embedding"), self.q.shape[1]))
-        ids, norm = rows.column("vec_id").to_numpy(), np.linalg.norm(p, axis=1)
-        order = np.argsort(-norm, kind="stable")
-        p, ids, norm = p[order], ids[order], norm[order]
-        exact = float(np.abs(p).max(initial=0)) * self.most * p.shape[1] < 2.0**53
-        for k in range(0, len(p), self.bucket):
-            self._bucket(best, p[k : k + self.bucket], ids[k : k + self.bucket], norm[k : k + self.bucket], exact)
+        self.ask(np.floor(self.scale * matrix(rows.column("embedding"), self.p.shape[1])))
+        exact = self.big * float(np.abs(self.q).max(initial=0)) * self.p.shape[1] < 2.0**53
+        for k in range(0, len(self.p), self.bucket):
+            self._bucket(best, self.p[k : k + self.bucket], self.ids[k : k + self.bucket], self.length[k : k + self.bucket], exact)
 
     def _bucket(self, best: Best, p: np.ndarray, ids: np.ndarray, norm: np.ndarray, exact: bool) -> None:
         reach = self.norm * norm[0]
@@ -84,14 +96,38 @@ class Search:
                 best.add(q, ids[r], score)
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, buckets: int = 16, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query picks, the k other rows of highest product."""
     check_columns(rows, [vec_id, embedding])
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    all_ = rows.select("vec_id", "embedding")
-    parts = []
-    for size, t in blocks(rows.filter("asks").select("vec_id", "embedding")):
-        q = Search(np.floor(scale * matrix(t.column("embedding"), size)), scale)
-        parts.append(search(all_, size, t.column("vec_id").to_numpy(), k, "long", q))
-    return ranked(parts, k, rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long"))
+    integer = lambda x: F.abs(F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    most = F.greatest(F.aggregate("embedding", F.lit(0.0), lambda m, x: F.greatest(m, integer(x))), F.lit(1.0))
+    norm = most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (integer(x) / most) * (integer(x) / most)))
+    rows = cut(rows.select("vec_id", "embedding", "asks", F.size("embedding").alias("size"), norm.alias("norm")))
+
+    # a row for each bucket of each number of dimensions: few
+    cuts = {r["size"]: sorted(set(r["cuts"])) for r in rows.groupBy("size").agg(F.percentile_approx("norm", [i / buckets for i in range(1, buckets)], 1000).alias("cuts")).collect()} if buckets > 1 else {}
+    bucket = F.lit(0)
+    for size, at in cuts.items():
+        bucket = F.when(F.col("size") == size, sum((F.when(F.col("norm") > x, 1).otherwise(0) for x in at), F.lit(0))).otherwise(bucket)
+    rows = rows.withColumn("bucket", bucket)
+    table, chunk = [], 0
+    for r in rows.groupBy("size", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("size", F.desc("bucket")).collect():
+        deal = -(-r["n"] * r["size"] // CHUNK)
+        table.append((r["size"], r["bucket"], r["norm"], not table or table[-1][0] != r["size"], chunk, deal))
+        chunk += deal
+    table = F.broadcast(rows.sparkSession.createDataFrame(table, "size int, bucket int, longest double, top boolean, chunk long, deal long"))
+    entries = rows.drop("asks", "norm").withColumn("hash", row_hash()).join(table, ["size", "bucket"]).select((F.col("chunk") + F.pmod("hash", "deal")).alias("chunk"), "top", "vec_id", "embedding")
+    asks = cut(queries_of(rows, "size", "norm")).join(table.drop("bucket"), "size")
+    asks = asks.withColumn("chunk", F.explode(F.sequence(F.col("chunk"), F.col("chunk") + F.col("deal") - 1)))
+
+    def chunks(entries: DataFrame, asks: DataFrame) -> DataFrame:
+        visit = lambda t: Search(matrix(t.column("embedding"), len(t.column("embedding")[0])), t.column("vec_id").to_numpy(), scale)
+        return search(entries.select("chunk", "vec_id", "embedding"), asks.select("chunk", "query_id", "embedding", "least"), k, "long", visit)
+
+    first = cut(ranked(chunks(entries.filter("top"), asks.filter("top").withColumn("least", F.lit(None).cast("double"))), k))
+    known = first.filter(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").cast("double").alias("least"))
+    rest = asks.filter("not top").join(known, F.col("query_id") == F.col("of"), "left")
+    rest = rest.filter(F.col("least").isNull() | (F.col("norm") * F.col("longest") * (1 + 1e-6) >= F.col("least")))
+    return ranked(first.drop("rank").unionByName(chunks(entries.filter("not top"), rest)), k)

@@ -1,12 +1,13 @@
-"""What the two vector searches share: which vectors take part, queries in blocks, and the best few of each query.
+"""What the two vector searches share: which vectors take part, chunks of candidates, and the best few of each query.
 
-A block of queries is of bounded size and goes to every task; the candidates are scanned where they lie, once for each
-block, and never shuffled. Each task sends the best k that it has for each query, and the last step ranks those.
+Candidates are dealt into chunks of bounded size by what they have in common (a range of lengths, or neighbouring cells);
+a hot range or cell is dealt among several chunks by row. A query goes as a row to each chunk that may hold some of its
+best; there it meets the chunk's candidates, in slices, and the k best of them go on. The last step ranks what the chunks
+sent. Neither queries nor candidates pass through the driver, and the plan does not grow with either.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers in a block of queries (16 MB as doubles).
-BLOCK = 1 << 21
-#: Numbers that a task looks at together.
-CHUNK = 1 << 20
+#: Numbers in a chunk of candidates (32 MB as doubles), and products made together.
+CHUNK = 1 << 22
+SLICE = 1 << 22
 
 
 def usable(vector: Column) -> Column:
@@ -26,17 +26,6 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad
 
 
-def blocks(queries: DataFrame, extra: tuple[str, ...] = ()) -> Iterator[tuple[int, pa.Table]]:
-    """(dimensions, table of vec_id, embedding and extra columns) for each block. One row stays for each vec_id: that with the least vector."""
-    queries = queries.groupBy("vec_id").agg(F.min(F.struct("embedding", *extra)).alias("row")).select("vec_id", "row.*")
-    for r in queries.groupBy(F.size("embedding").alias("size")).count().orderBy("size").collect():  # a row for each length there is
-        n = math.ceil(r["count"] * r["size"] / BLOCK)
-        for k in range(n):
-            part = queries.filter((F.size("embedding") == r["size"]) & (F.pmod(F.xxhash64("vec_id"), F.lit(n)) == k))
-            if (t := part.orderBy("vec_id").toArrow()).num_rows:
-                yield r["size"], t
-
-
 def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return np.array(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64).reshape(-1, size)
 
@@ -78,29 +67,61 @@ class Best:
         return row, query[at]
 
 
-def search(candidates: DataFrame, size: int, ids: np.ndarray, k: int, kind: str, visit: Callable[[Best, pa.Table], None]) -> DataFrame:
-    """(query_id, vec_id, score) from each task over the candidates of that length: visit(best, rows) adds to best."""
+def row_hash() -> Column:
+    """A hash that differs between equal rows of a written table."""
+    return F.xxhash64(F.monotonically_increasing_id())
+
+
+def search(entries: DataFrame, asks: DataFrame, k: int, kind: str, visit: Callable[[pa.Table], Callable[[Best, pa.Table], None]]) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each chunk for each query that comes to it.
+
+    entries: chunk, vec_id, embedding, and more. asks: chunk, query_id, embedding, least (the score that counts, or null),
+    and more; a query comes to a chunk at most once. visit(a chunk's entries)(best, queries) adds to best.
+    """
+    names = [c for c in entries.columns if c not in ("chunk", "vec_id", "embedding")], [c for c in asks.columns if c not in ("chunk", "query_id", "embedding", "least")]
+    types = dict(entries.dtypes) | dict(asks.dtypes)
+    null = lambda cols: [F.lit(None).cast(types[c]).alias(c) for c in cols]
+    both = entries.select("chunk", F.lit(0).alias("asks"), "vec_id", "embedding", *names[0], F.lit(None).cast("double").alias("least"), *null(names[1])).unionByName(
+        asks.select("chunk", F.lit(1).alias("asks"), F.col("query_id").alias("vec_id"), "embedding", *null(names[0]), "least", *names[1])
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held, n = Best(ids, k), [], 0
+        now, held, ready = None, [], None
         for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n * size >= CHUNK:
-                visit(best, pa.Table.from_batches(held))
-                held, n = [], 0
-        if n:
-            visit(best, pa.Table.from_batches(held))
-        score = pa.array(best.score if kind == "double" else [int(x) for x in best.score.tolist()], pa.float64() if kind == "double" else pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.vec), score], ["query_id", "vec_id", "score"])
-
-    return candidates.filter(F.size("embedding") == size).mapInArrow(run, f"query_id long, vec_id long, score {kind}")
-
-
-def ranked(parts: list[DataFrame], k: int, empty: DataFrame) -> DataFrame:
-    """The k best for each query of what the tasks sent: query_id, rank, vec_id, score."""
-    all_ = empty
-    for p in parts:
-        all_ = all_.unionByName(p)
+            chunk, asks_ = b.column("chunk").to_numpy(), b.column("asks").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (asks_[1:] != asks_[:-1]), [True])))
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                part = pa.Table.from_batches([b.slice(low, high - low)])
+                if chunk[low] != now:
+                    now, held, ready = chunk[low], [], None
+                if not asks_[low]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue  # a chunk without candidates
+                if ready is None:
+                    entries_, held = pa.concat_tables(held).combine_chunks(), [None]
+                    ready, n = visit(entries_), entries_.num_rows
+                for i in range(0, part.num_rows, step := max(1, SLICE // n)):
+                    queries = part.slice(i, step).combine_chunks()
+                    ids = queries.column("vec_id").to_numpy()
+                    best = Best(ids, k)
+                    least = queries.column("least").to_numpy(zero_copy_only=False)
+                    best.least = np.where(np.isnan(least), -np.inf, np.nextafter(least, -np.inf))
+                    ready(best, queries)
+                    score = pa.array(best.score if kind == "double" else [int(x) for x in best.score.tolist()], pa.float64() if kind == "double" else pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.vec), score], ["query_id", "vec_id", "score"])
+
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "asks").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+
+
+def queries_of(rows: DataFrame, *more: str) -> DataFrame:
+    """(query_id, embedding, and more) of the rows that ask: for each vec_id one row, that with the least vector."""
+    return rows.filter("asks").groupBy("vec_id").agg(F.min(F.struct("embedding", *more)).alias("row")).select(F.col("vec_id").alias("query_id"), "row.*")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best for each query of what the chunks sent: query_id, rank, vec_id, score."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return all_.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,16 +48,15 @@ def test_top_k(spark, kind):
 def test_pruning_takes_place():
     r = np.random.default_rng(9)
     x = np.floor(256 * r.normal(size=(4000, 8)) * np.exp(r.normal(size=(4000, 1)) * 2))
-    s = topk.Search(x[:40], 256.0, bucket=200)
+    s = topk.Search(x / 256.0, np.arange(4000), 256.0, bucket=200)
+    s.ask(x[:40])
     from sparkwright.llm.vectors import Best
 
     best, seen = Best(np.arange(40), 5), []
     add = s._add
     s._add = lambda b, p, ids, row, query, exact: (seen.append(len(row)), add(b, p, ids, row, query, exact))
-    order = np.argsort(-np.linalg.norm(x, axis=1))
     for k in range(0, 4000, 200):
-        at = order[k : k + 200]
-        s._bucket(best, x[at], at, np.linalg.norm(x[at], axis=1), True)
+        s._bucket(best, s.p[k : k + 200], s.ids[k : k + 200], s.length[k : k + 200], True)
     assert sum(seen) < 40 * 4000 / 10
 
 
@@ -98,11 +97,11 @@ def test_all_cells_in_order_of_distance():
     counts = r.integers(0, 9, index.cells)
     u = ann.unit(q)
     both = [ann._distance(h, c) for h, c in zip(index._halves(u), index.c, strict=True)]
-    for n, mask in enumerate(index.visit(q, counts, 60)):
+    for n, cells in enumerate(index.visit(q, counts, 60)):
         d = (both[0][n][:, None] + both[1][n]).ravel()
         order = np.argsort(d, kind="stable")
         need = int(np.searchsorted(np.cumsum(counts[order]), 60)) + 1
-        assert set(np.flatnonzero(mask)) == set(order[:need])
+        assert cells == [c for c in order[:need] if counts[c]]
 
 
 @pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
@@ -152,3 +151,49 @@ def test_own_rows_do_not_fill_the_visit(spark):
     got = ann.nearest(frame(spark, x, ids), F.col("vec_id") == 0).collect()
     u = ann.unit(x.astype(float))
     assert sorted(tuple(g)[:3] for g in got) == [w[:3] for w in ranks(u[:1] @ u.T, ids, [0])]
+
+
+@pytest.mark.parametrize("hot", [51, 150])
+def test_one_id_with_most_rows(spark, hot):
+    """60,000 rows of one vec_id, which asks or not, beside 300 others."""
+    r = np.random.default_rng(hot)
+    x = np.concatenate((np.tile(r.normal(size=(1, 4)), (60_000, 1)), r.normal(size=(300, 4)))).astype(np.float32)
+    ids = np.concatenate((np.full(60_000, hot), np.arange(300) * 50 + 1000))
+    for search in (topk.top_k, ann.nearest):
+        got = {}
+        for row in search(frame(spark, x, ids).repartition(4), F.col("vec_id") % 50 == 0).collect():
+            got.setdefault(row.query_id, []).append(row.vec_id)
+        assert all(len(v) == 5 for v in got.values()) and len(got) == 300 + (hot % 50 == 0)
+
+
+def test_nearest_of_huge_and_tiny_doubles(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(120, 6)) * np.array([1e200, 1.0, 1e-200])[np.arange(120) % 3][:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = ann.unit(x)
+    q = np.array([0, 50, 100])
+    got = sorted(map(tuple, ann.nearest(df, asks()).collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(ranks(u[q] @ u.T, np.arange(120), q))] and all(np.isfinite(g[3]) for g in got)
+    plain = r.normal(size=(50, 6))
+    assert (ann.cosine(plain, plain[::-1]) == (plain * plain[::-1]).sum(axis=1) / (np.sqrt((plain**2).sum(axis=1)) * np.sqrt((plain[::-1] ** 2).sum(axis=1)))).all()
+
+
+@pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
+def test_plans_do_not_grow_with_queries(spark, search):
+    x = np.random.default_rng(7).normal(size=(3000, 4)).astype(np.float32)
+    df = frame(spark, x)
+    size = [search(df, test)._jdf.queryExecution().optimizedPlan().toString().count("\n") for test in (F.col("vec_id") == 0, F.lit(True))]
+    assert size[0] == size[1]
+
+
+@pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
+def test_many_chunks(spark, search, monkeypatch):
+    """Chunks of a few rows, and hot cells and buckets dealt among several, give the same as one chunk."""
+    r = np.random.default_rng(11)
+    x = (r.normal(size=(1200, 4)) * np.exp(r.normal(size=(1200, 1)))).astype(np.float32)
+    x[100:400] = x[100]
+    df = frame(spark, x)
+    want = sorted(map(tuple, search(df, asks()).collect()))
+    for m in (topk, ann):
+        monkeypatch.setattr(m, "CHUNK", 200)
+    assert sorted(map(tuple, search(df, asks()).collect())) == want
