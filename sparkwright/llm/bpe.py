@@ -3,11 +3,18 @@
 Encoding reads a piece byte by byte. After any prefix, BPE's result for that prefix has exactly one last token, and a
 token sequence is BPE's result if and only if each neighbouring pair is BPE's result for the pair's own bytes. So the
 last token at a prefix's end is the one vocabulary entry that ends there and is compatible with the last token where it
-begins. What matters for later bytes are the ends at which a longer entry may still begin: for each, the node of the
-vocabulary's trie reached since and the last token there. The set of these pairs is a state of the determinised
-transducer; a state and its transitions are made when a text first needs them and kept. A state tells the token that ends
-where it is entered. No entry reaches back further than the longest one, so tokens before the point where the paths of
-all open ends meet are settled, and are emitted while the piece is still read: the lookahead is bounded.
+begins.
+
+Any end may be the start of a next entry, so the machine that reads entries is non-deterministic: it stands at one node
+of the vocabulary's trie for each end that is still open. It is determinised lazily. A set of such nodes is a state, and
+as each of them spells a suffix of what the deepest one spells, the deepest node names the set: there are no more states
+than trie nodes, whatever is read. A state's transition on a byte, and the entries that end where it is entered (the
+longest first), are found when a text first needs them and kept. Which of these entries is the token depends on the last
+tokens at the ends where they begin, all within the longest entry's length, and on a table of compatible pairs. Tokens
+before the point where the paths of all open ends meet are settled, and are emitted while the piece is still read: the
+lookahead is bounded.
+
+Memory is bounded: nodes by the vocabulary; kept transitions, pairs and pieces by numbers (see Transducer and Encoder).
 
 Cases: null and empty texts have no tokens; a text may be of any length (a piece costs time in proportion to its bytes);
 repeated rows are encoded alike; an empty table gives an empty table; other columns are kept, save one that has the name
@@ -18,7 +25,8 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import regex
@@ -29,34 +37,68 @@ from pyspark.sql import types as T
 from sparkwright.llm.shared import add_columns
 
 
-class State(dict):
-    """The next state by byte, made when first asked for.
+#: A state as the transitions hold it: its node << 8, and the entries that end where it is entered, as (token, bytes), the longest first.
+State = tuple[int, tuple[tuple[int, int], ...]]
+
 
-    open: (trie node, last token) of each end where a longer entry may begin, the oldest first. token: the one that ends here.
+class _Steps(dict):
+    """The determinised transitions: of node << 8 | byte, the next state, made when first asked for; `most` are kept.
+
+    A state, once made, is one object.
     """
 
-    __slots__ = ("fst", "open", "token")
+    def __init__(self, trie: dict[int, int], fail: array, entry: array, depth: array, most: int):
+        super().__init__()
+        self.trie, self.fail, self.entry, self.depth, self.most = trie, fail, entry, depth, most
+        self.states: dict[int, State] = {}
 
-    def __init__(self, fst: Transducer, open_: tuple, token: int):
-        self.fst, self.open, self.token = fst, open_, token
+    def __missing__(self, key: int) -> State:
+        at, byte = key >> 8, key & 255
+        while (to := self.trie.get(at << 8 | byte)) is None and at:
+            at = self.fail[at]
+        if len(self) >= self.most:
+            self.clear()
+            self.states.clear()
+        if (state := self.states.get(to or 0)) is None:
+            state = self.states[to or 0] = (to or 0, self._ends((to or 0) >> 8))
+        self[key] = state
+        return state
+
+    def _ends(self, at: int) -> tuple[tuple[int, int], ...]:
+        out = []
+        while at:
+            if self.entry[at] >= 0:
+                out.append((self.entry[at], self.depth[at]))
+            at = self.fail[at]
+        return tuple(out)
 
-    def __missing__(self, byte: int) -> State:
-        return self.fst._extend(self, byte)
+
+class _Pairs(dict):
+    """Of left << 32 | right, whether BPE leaves these two neighbours as they are; at most `most` are kept."""
+
+    def __init__(self, compatible: Callable[[int, int], bool], most: int):
+        super().__init__()
+        self.compatible, self.most = compatible, most
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = out = self.compatible(key >> 32, key & 0xFFFFFFFF)
+        return out
 
 
 class Transducer:
-    """BPE for one vocabulary of ranks. max_states bounds the memory: beyond it, all states are dropped and made anew as needed."""
+    """BPE for one vocabulary of ranks. max_steps and max_pairs bound what is kept: beyond, it is dropped and made anew as needed."""
 
     #: Bytes after which a long piece's settled tokens are emitted.
     STRIDE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_steps: int = 100_000, max_pairs: int = 150_000):
+        self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.length = {v: len(k) for k, v in ranks.items()}
-        self._pair: dict[int, bool] = {}
-        self.kids: list[dict[int, int]] = [{}]  # the trie: of each node, the next by byte
-        self.entry, self.depth = [-1], [0]  # of each node, the token that it spells and its depth
+        self.size = {v: len(k) for k, v in ranks.items()}
+        trie: dict[int, int] = {}
+        self.entry, self.depth = array("i", [-1]), array("i", [0])  # of each node, the token that it spells and its depth
         self.first: dict[int, int] = {}  # of each entry of more than a byte, the tokens that it is joined from
         self.second: dict[int, int] = {}
         for piece, rank in ranks.items():
@@ -67,21 +109,26 @@ class Transducer:
                 self.first[rank], self.second[rank] = ranks[two[0]], ranks[two[1]]
             at = 0
             for byte in piece:
-                if (to := self.kids[at].get(byte)) is None:
-                    to = self.kids[at][byte] = len(self.kids)
-                    self.kids.append({})
+                if (to := trie.get(at | byte)) is None:
+                    to = trie[at | byte] = len(self.entry) << 8
                     self.entry.append(-1)
-                    self.depth.append(self.depth[at] + 1)
+                    self.depth.append(self.depth[at >> 8] + 1)
                 at = to
-            self.entry[at] = rank
-        self.states: dict[tuple, State] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        for s in self.states.values():
-            s.clear()  # states refer to each other
-        self.start = State(self, ((0, -1),), -1)
-        self.states = {self.start.open: self.start}
+            self.entry[at >> 8] = rank
+        self.fail = self._fail(trie)
+        self.step = _Steps(trie, self.fail, self.entry, self.depth, max_steps)
+        self.pair = _Pairs(self.compatible, max_pairs)
+
+    def _fail(self, trie: dict[int, int]) -> array:
+        """Of each node, that of the longest proper suffix which the trie has."""
+        fail = array("i", bytes(4 * len(self.entry)))
+        for key, to in sorted(trie.items(), key=lambda x: self.depth[x[1] >> 8]):
+            if at := key >> 8:
+                at = fail[at]
+                while (back := trie.get(at << 8 | key & 255)) is None and at:
+                    at = fail[at]
+                fail[to >> 8] = (back or 0) >> 8
+        return fail
 
     def halves(self, piece: bytes) -> tuple[bytes, bytes] | None:
         """The last two parts of a piece as merging joins it: the pair of lowest rank first, the leftmost of equals. None if it does not become one."""
@@ -100,15 +147,9 @@ class Transducer:
         that makes an entry of a rank below that of the merge that parted it would have been joined; at equal rank the
         one further left goes first.
         """
-        known = self._pair.get(key := left << 32 | right)
-        if known is not None:
-            return known
-        if len(self._pair) > 150_000:
-            self._pair.clear()
         x, y, before, ranks, bytes_of = left, right, 1 << 60, self.ranks, self.bytes_of
         while True:
             if ranks.get(bytes_of[x] + bytes_of[y], 1 << 60) < before:
-                self._pair[key] = False
                 return False
             a, b = self.second.get(x), self.first.get(y)
             if a is not None and (b is None or x > y):
@@ -116,69 +157,55 @@ class Transducer:
             elif b is not None:
                 y, before = b, y + 1
             else:
-                self._pair[key] = True
                 return True
 
-    def _extend(self, s: State, byte: int) -> State:
-        """The state after s on a byte, made if need be."""
-        token, open_, kids, entry = -1, [], self.kids, self.entry
-        for node, last in s.open:
-            to = kids[node].get(byte)
-            if to is not None:
-                if token < 0 and (r := entry[to]) >= 0 and (last < 0 or self.compatible(last, r)):
-                    token = r
-                if kids[to]:
-                    open_.append((to, last))
-        open_.append((0, token))
-        key = tuple(open_)
-        new = self.states.get(key)
-        if new is None:
-            new = self.states[key] = State(self, key, token)
-        s[byte] = new
-        return new
-
-    def _settled(self, tokens: list[int], s: State) -> int:
+    def _read(self, data: bytes, node: int, tokens: list[int]) -> int:
+        """Reads on from a state's node, adds the last token at each end to tokens, and returns the node reached. The last of a state's entries, a byte, needs no test."""
+        step, pair, n = self.step, self.pair, len(tokens)
+        for byte in data:
+            node, ends = step[node | byte]
+            n += 1
+            for token, size in ends:
+                if size == n or size == 1 or pair[tokens[n - size - 1] << 32 | token]:
+                    break
+            tokens.append(token)
+        return node
+
+    def _settled(self, tokens: list[int], node: int) -> int:
         """How many bytes of those read lie before the point where the paths of all open ends meet."""
-        ends = {len(tokens) - self.depth[node] for node, _ in s.open}
+        ends, at = {len(tokens)}, node >> 8
+        while at:
+            ends.add(len(tokens) - self.depth[at])
+            at = self.fail[at]
         while len(ends) > 1:
             ends.remove(last := max(ends))
-            ends.add(last - self.length[tokens[last - 1]])
+            ends.add(last - self.size[tokens[last - 1]])
         return ends.pop()
 
     def _path(self, tokens: list[int], end: int) -> list[int]:
-        out = []
+        out, size = [], self.size
         while end:
             out.append(t := tokens[end - 1])
-            end -= self.length[t]
+            end -= size[t]
         return out[::-1]
 
     def pieces(self, piece: bytes) -> Iterator[list[int]]:
         """The tokens of one piece, in runs: each as soon as it is settled, looked at once in STRIDE bytes."""
-        s, tokens = self.start, []
-        for byte in piece:
-            s = s[byte]
-            tokens.append(s.token)
-            if len(tokens) >= self.STRIDE:
-                if at := self._settled(tokens, s):
-                    yield self._path(tokens, at)
-                    del tokens[:at]
-                if len(self.states) > self.max_states:
-                    self._reset()
-                    s = self.states.setdefault(s.open, s)
+        node, tokens = 0, []
+        for i in range(0, len(piece), self.STRIDE):
+            node = self._read(piece[i : i + self.STRIDE], node, tokens)
+            if at := self._settled(tokens, node):
+                yield self._path(tokens, at)
+                del tokens[:at]
         yield self._path(tokens, len(tokens))
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece. A piece that is an entry is that entry, as in the public library."""
         if (r := self.ranks.get(piece)) is not None:
             return (r,)
-        if len(self.states) > self.max_states:
-            self._reset()
-        if len(piece) >= self.STRIDE:
+        if len(piece) > self.STRIDE:
             return tuple(t for run in self.pieces(piece) for t in run)
-        s, tokens = self.start, []
-        for byte in piece:
-            s = s[byte]
-            tokens.append(s.token)
+        self._read(piece, 0, tokens := [])
         return tuple(self._path(tokens, len(tokens)))
 
 
@@ -209,7 +236,7 @@ class _Pieces(dict):
 class Encoder:
     """Splits texts by a pattern and encodes each piece. max_pieces bounds the memory of pieces already met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 120_000):
         self.find, self.fst = regex.compile(pattern).findall, Transducer(ranks)
         self.pieces = _Pieces(self.fst, max_pieces)
         self.whole = StreamDecoder.whole_tokens(self.fst.bytes_of)
@@ -265,11 +292,19 @@ class StreamDecoder:
         return out
 
     def decode(self, tokens: Iterable[int]) -> str:
-        """All tokens' text. Runs of whole characters take the one transition that they have."""
-        try:
-            return "".join(map(self.whole.__getitem__, tokens))
-        except KeyError:
-            return "".join([*map(self.feed, tokens), self.end()])
+        """All tokens' text. While nothing waits, tokens of whole characters, which all have the transition back to that state, are taken as a run."""
+        out, rest = [], iter(tokens)
+        while True:
+            for t in rest if self.wait else ():
+                out.append(self.feed(t))
+                if not self.wait:
+                    break
+            try:
+                out.extend(map(self.whole.__getitem__, rest))
+            except KeyError as e:  # the first token that leaves the state
+                out.append(self.feed(e.args[0]))
+            else:
+                return "".join([*out, self.end()])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

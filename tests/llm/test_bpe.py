@@ -42,11 +42,29 @@ def test_long_piece_is_emitted_in_runs(both):
     assert all(len(r) < 3000 for r in runs)
 
 
-def test_states_are_bounded(both):
-    fst = bpe.Transducer(both[0].fst.ranks, max_states=200)
-    for s in ("thnttionble", "ononononandthe", "z" * 9000, "ünïcödé"):
+def test_what_is_kept_is_bounded(both):
+    fst = bpe.Transducer(both[0].fst.ranks, max_steps=50, max_pairs=50)
+    r = random.Random(4)
+    for s in ("thnttionble", "ononononandthe", "z" * 9000, "ünïcödé", *("".join(r.choices("etaoinsrhld", k=12)) for _ in range(500))):
         assert list(fst.encode_piece(s.encode())) == both[1]._encode_single_piece(s.encode())
-    assert len(fst.states) < 5000
+    assert len(fst.step) <= 50 and len(fst.step.states) <= 50 and len(fst.pair) <= 50
+
+
+def test_no_more_states_than_trie_nodes(both):
+    """And each is the set of all ends that are open: the deepest node's suffixes in the trie."""
+    fst = both[0].fst
+    spelled = {0: b""}
+    for key, to in sorted(fst.step.trie.items(), key=lambda x: fst.depth[x[1] >> 8]):
+        spelled[to >> 8] = spelled[key >> 8] + bytes([key & 255])
+    by = {v: k for k, v in spelled.items()}
+    r, node, text = random.Random(5), 0, b""
+    for byte in "".join(r.choices("etaoinsrhld ", k=3000)).encode():
+        node, ends = fst.step[node | byte]
+        text = (text + bytes([byte]))[-200:]
+        suffixes = [text[k:] for k in range(len(text)) if text[k:] in by]
+        assert spelled[node >> 8] == suffixes[0]
+        assert [t for t, _ in ends] == [fst.entry[by[s]] for s in suffixes if fst.entry[by[s]] >= 0]
+    assert len(fst.step.states) <= len(fst.entry)
 
 
 def test_stream_decoder(both):
@@ -56,7 +74,7 @@ def test_stream_decoder(both):
     one = {b: i for i, b in e.fst.bytes_of.items() if len(b) == 1}
     out = [d.feed(one[bytes((b,))]) for b in text.encode()]
     assert all("\ufffd" not in x for x in out) and "".join(out) + d.end() == text
-    for raw in (b"\xff", b"\xe2\x82", b"\xed\xa0\x80", b"a\xc3", b"\xf0\x9f\x98", b"\xc0\xaf"):
+    for raw in (b"ab\xff\xe2\x82\xaccd", b"\xe2\x82\xac\xe2ok", b"\xff", b"\xe2\x82", b"\xed\xa0\x80", b"a\xc3", b"\xf0\x9f\x98", b"\xc0\xaf"):
         assert d.decode([one[bytes((b,))] for b in raw]) == raw.decode("utf-8", "replace")
 
 
