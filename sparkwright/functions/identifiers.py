@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lengths of some countries' IBANs, and the weights of the fiscal code's digits.
-IBAN_LENGTH = {"AT": 20, "BE": 16, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IT": 27, "NL": 18, "PL": 28, "RO": 24}
+#: Lengths of the countries' IBANs in the ISO 13616 registry, and the weights of the fiscal code's digits.
+IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in """
+        AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27
+        DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28
+        IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
+        MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24
+        SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30
+    """.split()
+}
 FISCAL_KEY = (7, 5, 3, 2, 1, 7, 5, 3, 2)
 
 
@@ -32,12 +41,10 @@ def iban_check_digits(country: str, bban: Column) -> Column:
 
 
 def iban_valid(code: Column) -> Column:
-    """Whether it is an IBAN: its form, its country's length where that is known, and remainder 1. Null for null."""
+    """Whether it is an IBAN: its form, the length of its country, which must be in the registry, and remainder 1. Null for null."""
     c = compact(code)
-    length = F.when(F.lit(False), 0)
-    for country, n in IBAN_LENGTH.items():
-        length = length.when(c.startswith(country), n)
-    form = c.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (F.length(c) == F.coalesce(length, F.length(c)))
+    lengths = F.create_map(*(F.lit(x) for item in IBAN_LENGTH.items() for x in item))
+    form = c.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & F.coalesce(F.length(c) == F.try_element_at(lengths, F.left(c, F.lit(2))), F.lit(False))
     return F.when(code.isNotNull(), F.when(form, mod97(F.concat(F.substring(c, 5, 30), F.substring(c, 1, 4))) == 1).otherwise(False))
 
 

@@ -9,7 +9,9 @@ from sparkwright.functions.dates import due, strict_date
 from sparkwright.functions.identifiers import fiscal_control, fiscal_valid, iban_check_digits, iban_print, iban_valid
 from sparkwright.functions.money import net_of
 from sparkwright.operators.reconcile import reconcile
-from sparkwright.sources.tables import table
+from sparkwright.sources.sinks import write_csv, write_json, write_xml
+from sparkwright.sources.tables import new_folder, table
+from sparkwright.streaming.checks import read_codes, start, valid_per_hour
 
 
 def order_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,21 +52,24 @@ from i
 
 
 def fiscal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fiscal codes made from supplier keys with their control digit, and whether the key alone would pass for one."""
+    """Fiscal codes made from supplier keys with their control digit, every third one with the next digit instead, and whether each, and the key alone, would pass for one."""
     base = (F.col("s_suppkey") + 1000).cast("string")
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", base.alias("base"), F.concat(base, fiscal_control(base).cast("string")).alias("code"))
+    digit = (fiscal_control(base) + F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)) % 10
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", base.alias("base"), F.concat(base, digit.cast("string")).alias("code"))
     return rows.select("s_suppkey", "code", fiscal_valid(F.col("code")).alias("valid"), fiscal_valid(F.col("base")).alias("base_valid"))
 
 
 FISCAL_CHECK = """
 with b as (select s_suppkey, (s_suppkey + 1000)::varchar as base from supplier),
+p as (select s_suppkey, base, lpad(base, 9, '0') as p from b),
 c as (
-  select s_suppkey, base, lpad(base, 9, '0') as p, lpad(base[:-2], 9, '0') as q from b),
-d as (
-  select *, (7 * p[1]::int + 5 * p[2]::int + 3 * p[3]::int + 2 * p[4]::int + p[5]::int + 7 * p[6]::int + 5 * p[7]::int + 3 * p[8]::int + 2 * p[9]::int) * 10 % 11 % 10 as control,
-    (7 * q[1]::int + 5 * q[2]::int + 3 * q[3]::int + 2 * q[4]::int + q[5]::int + 7 * q[6]::int + 5 * q[7]::int + 3 * q[8]::int + 2 * q[9]::int) * 10 % 11 % 10 as inner_control
-  from c)
-select s_suppkey, base || control::varchar as code, true as valid, inner_control = base[-1:]::int as base_valid from d
+  select s_suppkey, base, base || (((7 * p[1]::int + 5 * p[2]::int + 3 * p[3]::int + 2 * p[4]::int + p[5]::int + 7 * p[6]::int + 5 * p[7]::int + 3 * p[8]::int + 2 * p[9]::int) * 10 % 11 % 10 + case when s_suppkey % 3 = 0 then 1 else 0 end) % 10)::varchar as code
+  from p),
+d as (select *, lpad(code[:-2], 9, '0') as of_code, lpad(base[:-2], 9, '0') as of_base from c)
+select s_suppkey, code,
+  (7 * of_code[1]::int + 5 * of_code[2]::int + 3 * of_code[3]::int + 2 * of_code[4]::int + of_code[5]::int + 7 * of_code[6]::int + 5 * of_code[7]::int + 3 * of_code[8]::int + 2 * of_code[9]::int) * 10 % 11 % 10 = code[-1:]::int as valid,
+  (7 * of_base[1]::int + 5 * of_base[2]::int + 3 * of_base[3]::int + 2 * of_base[4]::int + of_base[5]::int + 7 * of_base[6]::int + 5 * of_base[7]::int + 3 * of_base[8]::int + 2 * of_base[9]::int) * 10 % 11 % 10 = base[-1:]::int as base_valid
+from d
 """
 
 
@@ -86,26 +91,74 @@ from s group by 1, 2
 
 
 def due_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order with lines: when it is due by its priority's term, and days between that and its last shipment; dates go through their text."""
+    """Per order with lines: when it is due by its priority's term, and days between that and its last shipment. Dates go through their text; in every seventh the day is 31, which not all months have (then null and 0 days)."""
     day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    day = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("31"), F.substring(day, 3, 8))).otherwise(day)
     term = F.when(F.col("o_orderpriority").startswith("1"), 10).when(F.col("o_orderpriority").startswith("2"), 20).otherwise(30)
     last = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", strict_date(day, "dd.MM.yyyy").alias("issued"), term.alias("days"))
     rows = rows.withColumn("due", due(F.col("issued"), F.col("days"))).join(last, F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.select("o_orderkey", F.col("due").cast("string").alias("due"), F.datediff(F.col("last").cast("date"), "due").cast("long").alias("late_days"))
+    return rows.select("o_orderkey", F.col("due").cast("string").alias("due"), F.coalesce(F.datediff(F.col("last").cast("date"), "due"), F.lit(0)).cast("long").alias("late_days"))
 
 
 DUE_DATES = """
 with last as (select l_orderkey, max(l_shipdate)::date as last from lineitem group by 1),
+t as (
+  select *, case when o_orderkey % 7 = 0 then strftime(o_orderdate, '%Y-%m-31') else strftime(o_orderdate, '%Y-%m-%d') end as day from orders),
 d as (
-  select o_orderkey, o_orderdate::date + (case when o_orderpriority like '1%' then 10 when o_orderpriority like '2%' then 20 else 30 end)::int as due from orders)
-select o_orderkey, due::date::varchar as due, (last - due::date)::bigint as late_days from d join last on o_orderkey = l_orderkey
+  select o_orderkey, try_cast(day as date) + (case when o_orderpriority like '1%' then 10 when o_orderpriority like '2%' then 20 else 30 end)::int as due from t)
+select o_orderkey, due::date::varchar as due, coalesce(last - due::date, 0)::bigint as late_days from d join last on o_orderkey = l_orderkey
+"""
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit('a "quoted", '), F.col("p_name"), F.lit("; 'x' & <y>")).alias("name"), price.alias("price"))
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with awkward names, written as CSV and read back."""
+    write_csv(_exported(spark, sf_dir), path := new_folder(spark))
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").schema("key string, name string, price string").csv(path)
+
+
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    write_json(_exported(spark, sf_dir), path := new_folder(spark))
+    return spark.read.schema("key string, name string, price string").json(path)
+
+
+def xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    write_xml(_exported(spark, sf_dir), path := new_folder(spark))
+    return spark.read.format("xml").option("rowTag", "row").schema("key string, name string, price string").load(path)
+
+
+ROUND_TRIP = """
+select p_partkey::varchar as key, 'a "quoted", ' || p_name || '; ''x'' & <y>' as name, p_retailprice::decimal(18,2)::varchar as price from part
+"""
+
+
+def codes_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream: account codes made from users, every fifth with a wrong length, counted by hour and validity once their hour is over."""
+    bban = F.concat(F.lit("10020030"), F.lpad(F.col("user_id").cast("string"), 10, "0"))
+    code = F.concat(F.lit("DE"), iban_check_digits("DE", bban), bban, F.when(F.col("event_id") % 5 == 0, "1").otherwise(""))
+    source, out, log = (new_folder(spark) for _ in range(3))
+    table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), code.alias("code"), F.col("ts").cast("timestamp").alias("arrived")).write.parquet(source)
+    start(valid_per_hour(read_codes(spark, source)), out, log).awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "valid", "n")
+
+
+#: The watermark stays an hour behind the last event, so the hours that end after it are not out yet.
+CODES_PER_HOUR = """
+select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_id % 5 <> 0 as valid, count(*) as n
+from events
+where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 hour from events)
+group by all
 """
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (order_reconcile, iban_check, fiscal_check, tax_split, due_dates)}
+    return {f.__name__: f for f in (order_reconcile, iban_check, fiscal_check, tax_split, due_dates, csv_round_trip, json_round_trip, xml_round_trip, codes_per_hour)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"order_reconcile": ORDER_RECONCILE, "iban_check": IBAN_CHECK, "fiscal_check": FISCAL_CHECK, "tax_split": TAX_SPLIT, "due_dates": DUE_DATES}
+    return {"order_reconcile": ORDER_RECONCILE, "iban_check": IBAN_CHECK, "fiscal_check": FISCAL_CHECK, "tax_split": TAX_SPLIT, "due_dates": DUE_DATES, "csv_round_trip": ROUND_TRIP, "json_round_trip": ROUND_TRIP, "xml_round_trip": ROUND_TRIP, "codes_per_hour": CODES_PER_HOUR}

@@ -17,7 +17,10 @@ def test_iban(spark):
     # published examples
     good = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "RO49AAAA1B31007593840000", "fr1420041010050500013m02606", "MT84MALT011000012345MTLCAST001S"]
     bad = ["GB82WEST12345698765433", "DE8937040044053201300", "XX", "", "12DE370400440532013000", "DE89-3704-0044-0532-0130-00", "RO49AAAA1B3100759384000"]
-    assert values(spark, [*good, *bad, None], "code string", identifiers.iban_valid(F.col("code"))) == [True] * 5 + [False] * 7 + [None]
+    # a country outside the registry, and one with another's length, each with remainder 1
+    bad += [c + str(98 - int("".join(str(int(x, 36)) for x in f"{b}{c}00")) % 97).zfill(2) + b for c, b in (("ZZ", "370400440532013000"), ("NO", "370400440532013000"))]
+    assert values(spark, [*good, *bad, None], "code string", identifiers.iban_valid(F.col("code"))) == [True] * 5 + [False] * 9 + [None]
+    assert len(identifiers.IBAN_LENGTH) == 89 and min(identifiers.IBAN_LENGTH.values()) == 15
     assert values(spark, ["gb82west12345698765432"], "code string", identifiers.iban_print(F.col("code"))) == ["GB82 WEST 1234 5698 7654 32"]
 
 

@@ -45,6 +45,13 @@ def test_without_the_llm_part():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_a_missing_package_is_an_error():
+    """Where the subpackage is there but what it needs is not, its queries do not vanish silently."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    if os.path.isdir(os.path.join(ROOT, "sparkwright", "llm")):
+        assert b"xxhash" in subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).stderr
+
+
 def test_nothing_else_imports_the_llm_part():
     for d, _, names in os.walk(os.path.join(ROOT, "sparkwright")):
         if os.path.basename(d) != "llm":
