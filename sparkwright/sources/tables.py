@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -19,11 +20,16 @@ def split_bad(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(test), df.filter(~test)
 
 
+@functools.cache
+def _temporary() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sparkwright-")
+
+
 def new_folder(spark: SparkSession) -> str:
     """A new folder's path under spark.checkpoint.dir. Where that is unset: a temporary one in local mode, else an error, as executors do not share local folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sparkwright-")
+        base = _temporary()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -1,3 +1,4 @@
+import pytest
 import csv
 import datetime
 import glob
@@ -51,3 +52,18 @@ def test_stream(spark, tmp_path):
     checks.start(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {(r.hour.hour, r.valid): r.n for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("hour"), "valid", "n").collect()}
     assert got[10, True] == 1 and got[10, False] == 2 and got[11, True] == 1
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sparkwright.sources.tables import new_folder
+
+    assert new_folder(spark) != new_folder(spark)
+    for master, conf in (("yarn", None), ("local-cluster[2,1,1024]", None), ("yarn", "hdfs://x/shared/")):
+        other = SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda k, d, conf=conf: conf))
+        if conf:
+            assert new_folder(other).startswith("hdfs://x/shared/") and "//" not in new_folder(other)[7:]
+        else:
+            with pytest.raises(ValueError, match="checkpoint"):
+                new_folder(other)
