@@ -115,13 +115,13 @@ class NearDup:
         return add_columns(docs, "text", [("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("registers", T.BinaryType())], work, drop=True)
 
     def buckets(self, classes: DataFrame) -> DataFrame:
-        """(rep, n_shingles, registers) to (key, band, parts, rep): the members of the buckets that have more than one."""
+        """(rep, n_shingles, registers) to (key, band, parts, rep, n_shingles): the members of the buckets that have more than one."""
         width = 2 * self.rows
         keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("registers", b * width + 1, width)).alias("key")) for b in range(self.bands)]
         all_ = classes.select("rep", "n_shingles", F.inline(F.array(*keys)))
         full = all_.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes")).filter("n > 1")
         parts = F.greatest(F.ceil(F.col("n") / self.most), F.ceil(F.col("hashes") / self.most_hashes)).cast("long")
-        return all_.drop("n_shingles").join(full.select("key", parts.alias("parts")), "key")
+        return all_.join(full.select("key", parts.alias("parts")), "key")
 
     @staticmethod
     def _groups(members: DataFrame, part: Column) -> DataFrame:
@@ -202,7 +202,7 @@ class NearDup:
         them is one link at most for a member and a component.
         """
         facts = classes.join(components, classes["rep"] == components["node"], "left").select("rep", "n_shingles", "registers", F.coalesce("component", "rep").alias("component"))
-        known = members.join(facts.select("rep", "n_shingles", "component"), "rep")
+        known = members.join(components, members["rep"] == components["node"], "left").select("key", "band", "parts", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
         sums = known.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
         sums = sums.groupBy("key").agg(F.max(F.struct("n", "component", "hashes")).alias("of"), F.sum("n").alias("n"), F.sum("hashes").alias("hashes"))
         left_n, left_hashes = F.col("n") - F.col("of.n"), F.col("hashes") - F.col("of.hashes")
@@ -253,8 +253,7 @@ class NearDup:
 
     def verify(self, links: DataFrame, docs: DataFrame) -> DataFrame:
         """The links whose sets, from the whole texts, reach the threshold."""
-        ids = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        docs = cut(docs.filter("text is not null").join(ids, "doc_id", "left_semi").distinct())  # a repeated row once
+        docs = docs.filter("text is not null")
         pairs = links.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", F.struct("text_a", "text_b").alias("texts"))
 
@@ -279,6 +278,9 @@ class NearDup:
         classes = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
         classes = cut(classes)
         members = cut(self.buckets(classes))
+        twice = cut(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+        if not twice.isEmpty():  # a repeated row once
+            docs = docs.join(twice, "doc_id", "left_anti").unionByName(docs.join(twice, "doc_id", "left_semi").distinct())
         links = cut(self.verify(cut(self.propose(members, classes)), docs))
         found = components(links)
         more = cut(self.across(members, classes, found, docs))

@@ -1,9 +1,7 @@
-"""What the operators share: the folder for intermediate tables, and how columns are added in Python."""
+"""What the operators share: tables written between steps, ids of words, and how columns are added in Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,18 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; where that is unset, as in tests, under one temporary folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="sparkwright-"))
-        base = _own[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
+from sparkwright.sources.tables import new_folder as shared_dir
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared folder and read it again.

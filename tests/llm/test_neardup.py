@@ -132,7 +132,7 @@ def test_straggler_costs_few_rows(spark, monkeypatch):
     nd = NearDup(shingle=4, most=n // parts)
     text = " ".join(f"w{k}" for k in range(40))
     classes = spark.range(n).select(F.col("id").alias("rep"), F.lit(37).cast("long").alias("n_shingles"), F.lit(nd.sketcher.registers(shingle_set(text, 4)).tobytes()).alias("registers"))
-    members = classes.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(parts).cast("long").alias("parts"), "rep")
+    members = classes.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(parts).cast("long").alias("parts"), "rep", "n_shingles")
     found = spark.range(n - 1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
     docs = classes.select(F.col("rep").alias("doc_id"), F.lit(text).alias("text"))
     groups, own = [], NearDup._groups

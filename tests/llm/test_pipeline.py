@@ -25,7 +25,7 @@ def test_stages(spark, small):
     most = seen["mix"].groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert most <= 3 and ids(seen["mix"]) <= ids(seen["secrets"])
     assert seen["tokens"].count() == seen["mix"].count()
-    assert all(r.n_tokens == len(r.ids) for r in seen["tokens"].collect())
+    assert all(r.n_tokens == len(r.ids) and r.whole for r in seen["tokens"].collect())
 
 
 def test_run_and_empty(spark, small):
@@ -37,12 +37,33 @@ def test_run_and_empty(spark, small):
     assert docs.count() == 0
 
 
-def test_nulls_and_repeated_rows(spark, small):
-    schema = spark.read.parquet(f"{small}/documents.parquet").schema
-    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "The same few words of a clean text here.", None, None, None), (3, "The same few words of a clean text here.", "en", "a", 40)]
-    docs = spark.createDataFrame(rows, schema)
+def test_stages_in_a_row_over_odd_rows(spark, small):
+    """Nulls in each column, repeated rows, ties, a very long text, secrets, a column that has the names of the operators' own; each stage gets what the one before kept."""
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema.add("score", "string").add("set_key", "integer")
+    good = [r.text for r in P.keep_quality(spark, spark.read.parquet(f"{small}/documents.parquet"), small).filter("length(text) between 400 and 2000").limit(6).collect()]
+    very_long = " ".join(f"{t} {k}" for k in range(400) for t in good[:3])
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, None, "en", None, 0), (3, very_long, "en", "a", len(very_long))]
+    rows += [(10, good[0], None, None, None), (11, good[0], "en", "a", 9), (11, good[0], "en", "a", 9), (12, "".join(c.upper() if c.isascii() else c for c in good[0]), "en", "b", 9), (None, good[1], "en", "b", 9), (None, good[1], "en", "b", 9), (None, good[0], "en", "b", 9)]
+    rows += [(20, good[2] + " password=abcdefgh12 " + "=" * 3000 + "a1", "en", "c", 1), (21, good[3], "en", "c", 1), (22, good[4], "en", None, 1)]
+    now = spark.createDataFrame([(*r, "x", 7) for r in rows], schema)
+    columns, before = now.columns, None
     for name, f in P.STAGES:
-        out = f(spark, docs, small)
-        assert out.count() <= len(rows) * (3 if name == "mix" else 1)
+        out = f(spark, now, small)
+        got = out.collect()
+        before = now.collect()
+        if name == "tokens":
+            assert [c for c in out.columns if c in columns] == ["doc_id", "lang", "source", "n_chars"] and len(got) == len(before) and all(r.whole for r in got)
+            break
+        assert out.columns == columns
+        if name == "quality":
+            assert {3, 10, 11, 12, 20, 21, 22} <= {r.doc_id for r in got} and len([r for r in got if r.doc_id == 11]) == 2
         if name == "near_duplicates":
-            assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 1, 2]
+            texts = [(r.text or "").lower() for r in got if r.text]
+            assert len(texts) == len(set(texts)) and 10 in {r.doc_id for r in got} and not {11, 12} & {r.doc_id for r in got}
+            assert [r.doc_id for r in got if r.text == good[1]] == [None]
+        if name == "secrets":
+            assert len(got) == len(before) and "[SECRET]" in next(r.text for r in got if r.doc_id == 20)
+        if name == "mix":
+            assert all([r.text for r in got].count(t) <= 3 for t in {r.text for r in got if r.text})
+        # as between written stages
+        now = spark.createDataFrame(got, schema)
