@@ -197,3 +197,13 @@ def test_many_chunks(spark, search, monkeypatch):
     for m in (topk, ann):
         monkeypatch.setattr(m, "CHUNK", 200)
     assert sorted(map(tuple, search(df, asks()).collect())) == want
+
+
+def test_top_k_of_huge_doubles(spark):
+    """Components beyond 64 bits prune nothing that counts."""
+    x = [[1e30, 1.0], [1e-3, 5.0], [2e25, -3.0], [-1e28, 1.0], [0.25, 0.5], [1e30, 0.0]] + [[0.5, 0.25]] * 40
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 1).collect()}
+    v = [[int(np.floor(256 * c)) for c in r] for r in x]
+    score = [(-sum(a * b for a, b in zip(v[1], v[j], strict=True)), j) for j in range(len(x)) if j != 1]
+    assert [got[1, k + 1] for k in range(5)] == [(j, -s) for s, j in sorted(score)[:5]]
