@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.llm.shared import add_columns, check_columns, cut, first_by_hash
-from sparkwright.llm.vectors import CHUNK, Best, matrix, queries_of, ranked, row_hash, search, usable
+from sparkwright.llm.vectors import CHUNK, Best, chunk_rows, matrix, queries_of, ranked, row_hash, search, usable
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -95,8 +95,7 @@ class Rerank:
         order = np.argsort(cell, kind="stable")
         self.x, self.ids = matrix(rows.column("embedding"), size)[order], rows.column("vec_id").to_numpy()[order]
         self.u, cell = unit(self.x), cell[order]
-        self.ends = np.flatnonzero(np.append(cell[1:] != cell[:-1], True)) + 1
-        self.cells = cell[self.ends - 1]
+        self.cells, self.of = np.unique(cell, return_inverse=True)
 
     def __call__(self, best: Best, rows: pa.Table) -> None:
         q = matrix(rows.column("embedding"), self.x.shape[1])
@@ -107,12 +106,16 @@ class Rerank:
         at = np.minimum(np.searchsorted(self.cells, which), len(self.cells) - 1)
         here = self.cells[at] == which
         asks[who[here], at[here]] = True
-        for c, (low, high) in enumerate(zip(np.concatenate(([0], self.ends[:-1])), self.ends, strict=True)):
-            visits = np.flatnonzero(asks[:, c])
-            if len(visits):
-                near = self.u[low:high] @ u[visits].T
-                row, query = best.add_matrix(visits, self.ids[low:high], near, 1e-9)
-                best.add(query, self.ids[low + row], cosine(self.x[low + row], q[query]))
+        for low in range(0, len(self.x), 1024):
+            high = min(low + 1024, len(self.x))
+            visited = asks[:, self.of[low:high]]
+            at = np.flatnonzero(visited.any(axis=1))
+            if len(at):
+                near = np.where(visited[at].T, self.u[low:high] @ u[at].T, -np.inf)
+                row, query = best.add_matrix(at, self.ids[low:high], near, 1e-9)
+                here = visited[query, row]
+                row, query = low + row[here], query[here]
+                best.add(query, self.ids[row], cosine(self.x[row], q[query]))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,7 +158,7 @@ def _nearest(same: DataFrame, size: int, k: int, centroids: int, sample: int, sh
     for r in entries.groupBy("cell").count().collect():  # a row for each cell
         counts[r["cell"]] = r["count"]
     enough = max(share * counts.sum(), least, k + 1)
-    first, deal = _chunks(counts, max(1, CHUNK // size))
+    first, deal = _chunks(counts, chunk_rows(same, int(counts.sum()), CHUNK // size))
     own = entries.groupBy("vec_id").agg(F.count("*").alias("own")).filter("own > 1").withColumnRenamed("vec_id", "of")
     queries = queries_of(entries).join(own, F.col("query_id") == F.col("of"), "left").select("query_id", "embedding", F.struct("embedding", F.coalesce("own", F.lit(1)).alias("own")).alias("row"))
 
@@ -169,7 +172,8 @@ def _nearest(same: DataFrame, size: int, k: int, centroids: int, sample: int, sh
             yield ([{"chunk": i, "cells": c} for i, c in by.items()],)
 
     kind = T.ArrayType(T.StructType([T.StructField("chunk", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
-    asks = add_columns(queries, "row", [("visits", kind)], visited, drop=True)
+    n = int(same.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asks = add_columns(queries.repartition(n), "row", [("visits", kind)], visited, drop=True)
     asks = asks.select("query_id", "embedding", F.inline("visits"), F.lit(None).cast("double").alias("least"))
     listed = lambda a: F.split(F.lit(",".join(map(str, a.tolist()))), ",").cast("array<bigint>")
     place = lambda a: F.element_at(listed(a), F.col("cell") + 1)

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkwright.sources.tables import new_folder as shared_dir
 
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared folder and read it again.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.shared import check_columns, cut
-from sparkwright.llm.vectors import CHUNK, Best, matrix, queries_of, ranked, row_hash, search, usable
+from sparkwright.llm.vectors import CHUNK, Best, chunk_rows, matrix, queries_of, ranked, row_hash, search, usable
 
 SLACK = 1e-9  # of rounding in cosines; pruning errs to the safe side by it
 
@@ -114,8 +114,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, b
         bucket = F.when(F.col("size") == size, sum((F.when(F.col("norm") > x, 1).otherwise(0) for x in at), F.lit(0))).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket)
     table, chunk = [], 0
-    for r in rows.groupBy("size", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("size", F.desc("bucket")).collect():
-        deal = -(-r["n"] * r["size"] // CHUNK)
+    found = rows.groupBy("size", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("size", F.desc("bucket")).collect()
+    for r in found:
+        deal = -(-r["n"] // chunk_rows(rows, r["n"], CHUNK // r["size"]))
         table.append((r["size"], r["bucket"], r["norm"], not table or table[-1][0] != r["size"], chunk, deal))
         chunk += deal
     table = F.broadcast(rows.sparkSession.createDataFrame(table, "size int, bucket int, longest double, top boolean, chunk long, deal long"))

@@ -67,6 +67,12 @@ class Best:
         return row, query[at]
 
 
+def chunk_rows(df: DataFrame, count: int, most: int) -> int:
+    """Candidates of a chunk, where there are `count` in all: `most`, or so many fewer that each task has a chunk, but 1,024 if there are."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(1024, -(-count // tasks))))
+
+
 def row_hash() -> Column:
     """A hash that differs between equal rows of a written table."""
     return F.xxhash64(F.monotonically_increasing_id())
