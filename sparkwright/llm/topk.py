@@ -101,10 +101,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, b
     check_columns(rows, [vec_id, embedding])
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    # a bound of the integers' length: no component grows by more than 1; the largest is divided out, so that no square overflows
-    size = lambda x: F.abs(F.lit(scale) * x.cast("double")) + 1.0
-    most = F.aggregate("embedding", F.lit(0.0), lambda m, x: F.greatest(m, size(x)))
-    norm = most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (size(x) / most) * (size(x) / most)))
+    # a bound of the integers' length, as no component grows by more than 1; where squares overflow it is infinite, and prunes nothing
+    part = lambda x: F.abs(F.lit(scale) * x.cast("double")) + 1.0
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + part(x) * part(x)))
     rows = cut(rows.select("vec_id", "embedding", "asks", F.size("embedding").alias("size"), norm.alias("norm")))
 
     # a row for each bucket of each number of dimensions: few
