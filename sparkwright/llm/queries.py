@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import ann, bpe, mixing, passages, quality, secrets, topk, urlfilter, warc
+from sparkwright.llm import ann, bpe, codes, mixing, passages, quality, secrets, topk, urlfilter, warc, whitening
 from sparkwright.llm.neardup import NearDup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -122,9 +122,50 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds without bounds: every part against every entry, ties to the lower index."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+  select id, part, arg_min(k, (d, k)) as k, min(d) as d from (
+    select v.id, v.part, c.k, list_sum(list_transform(list_zip(v.xs, c.xs), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from v join c{r} c on v.part = c.part)
+  group by id, part)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} as materialized (
+  select c.part, c.k, coalesce(m.xs, c.xs) as xs from c{r} c left join (
+    select part, k, list(x order by pos) as xs from (
+      select part, k, pos, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as x
+      from (select v.part, a.k, unnest(range(1, len(v.xs) + 1)) as pos, unnest(v.xs) as x from v join a{r} a using (id, part)) group by part, k, pos)
+    group by part, k) m on c.part = m.part and c.k = m.k)""")
+    return f"""
+with kept as materialized (
+  select row_number() over (order by vec_id, embedding) as id, vec_id, label, [floor(4096 * x::double)::hugeint for x in embedding] as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (
+  select id, p.part, e[p.part * (len(e) // {parts}) + 1 : (p.part + 1) * (len(e) // {parts})] as xs from kept, (select unnest(range({parts})) as part) p),
+c0 as materialized (select part, id - 1 as k, xs from v where id <= {entries}),{",".join(steps)},
+s as (select id, string_agg(printf('%02x', k::int), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by id),
+h as (select sha256(string_agg(array_to_string(xs, ','), ',' order by part, k)) as codebooks_sha256 from c{rounds})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from s join kept using (id), h
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op6_passages, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op6_passages, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan, op11_whitening, op12_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_near_dup": OP5_SQL, "op7_warc": OP7_SQL}
+    return {"op3_top_k": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_near_dup": OP5_SQL, "op7_warc": OP7_SQL, "op12_vector_codes": OP12_SQL}

@@ -25,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that this run has written and that later ones have replaced. Nothing happens where there is none, or no path."""
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def check_columns(df: DataFrame, needs: Iterable[str]) -> None:
     """An error that names what is missing."""
     have = {c.lower() for c in df.columns}
