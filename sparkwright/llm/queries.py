@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import ann, bpe, codes, mixing, passages, quality, secrets, topk, urlfilter, warc, whitening
+from sparkwright.llm import ann, bpe, codes, lines, mixing, passages, quality, secrets, topk, urlfilter, warc, whitening
 from sparkwright.llm.neardup import NearDup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -163,9 +163,29 @@ select vec_id, code, error, (sum(error) over (partition by label))::bigint as la
 OP12_SQL = _op12_sql()
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's files, in order, make up to four batches."""
+    docs = _table(spark, sf_dir, "documents")
+    files = sorted(docs.inputFiles())
+    size = -(-len(files) // 4)
+    batches = [spark.read.schema(docs.schema).parquet(*files[i : i + size]) for i in range(0, len(files), size)] if size else None
+    return lines.drop_lines(docs, batches).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = f"""
+with l as (
+  select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{urlfilter.UPPER}', '{urlfilter.LOWER}') as key from l),
+f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
+m as (select k.*, f.key is not null as gone from k left join f on k.key = f.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op6_passages, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan, op11_whitening, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op6_passages, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan, op11_whitening, op12_vector_codes, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_near_dup": OP5_SQL, "op7_warc": OP7_SQL, "op12_vector_codes": OP12_SQL}
+    return {"op3_top_k": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_near_dup": OP5_SQL, "op7_warc": OP7_SQL, "op12_vector_codes": OP12_SQL, "op13_line_dedup": OP13_SQL}
