@@ -44,7 +44,7 @@ def lines_of(text: Column) -> Column:
 def key_of(line: Column) -> Column:
     """Without white space at both ends, A-Z in lower case. Lines of ASCII alone take the faster function."""
     bare = F.btrim(line, F.lit(SPACE))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def hashes(key: Column) -> list[Column]:
@@ -172,7 +172,9 @@ def drop_lines(docs: DataFrame, batches: list[DataFrame] | None = None, least: i
     found = found.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two), F.col("dropped").alias(dropped))
     rows = docs.join(found, F.col(doc_id).eqNullSafe(F.col(one)) & (F.xxhash64(text) == F.col(two)), "left")
     lines, gone = lines_of(F.col(text)), F.coalesce(F.size(dropped), F.lit(0))
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
-    rest = F.when(F.col(dropped).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    rest = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(dropped))
+    # the lines are an argument, as what stands in a lambda's body is worked out again for each element
+    joined = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(rest(ls), lambda i: F.get(ls, i)), "\n")), 0)
+    rest = F.when(F.col(dropped).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(joined)
     at = [rest.alias(c) if c.lower() == text.lower() else F.col(c) for c in kept]
     return rows.select(*at, F.size(lines).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))

@@ -1,0 +1,85 @@
+import math
+
+import numpy as np
+import pytest
+
+from sparkwright.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<double>, n string, component string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+
+
+def brute(x):
+    """(deviations, eigenvalues falling, eigenvectors, trace, centred rows) of integer rows, by Python's integers and a dense solver."""
+    n, s = len(x), [sum(int(v) for v in c) for c in x.T]
+    dev = [sum((n * int(v) - t) ** 2 for v, t in zip(r, s, strict=True)) for r in x]
+    xc = x - x.mean(axis=0)
+    v = xc.T @ xc / n
+    e, u = np.linalg.eigh(v)
+    return dev, e[::-1], u[:, ::-1], np.trace(v), xc
+
+
+@pytest.mark.parametrize("size,count", [(64, 700), (20, 300), (5, 90), (1, 7)])
+def test_like_a_dense_solver(spark, size, count):
+    r = np.random.default_rng(size)
+    raw = r.normal(size=(count, size)) * np.linspace(0.4, 0.1, size) @ np.linalg.qr(r.normal(size=(size, size)))[0]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(raw)]
+    bad = [(900, None), (901, [math.nan] * size), (902, [math.inf] * size), (903, [None] * size)]
+    out = whitening.whiten(frame(spark, rows + bad).repartition(5)).toPandas()
+    k = min(8, size)
+    dev, e, u, trace, xc = brute((np.floor(1024 * raw) + 100_000).astype(np.int64))
+    assert len(out) == count * k and set(out["n"]) == {count} and (out.identity_error < 1e-10).all()
+    out = out.sort_values(["vec_id", "component"])
+    assert out.component.tolist() == list(range(1, k + 1)) * count
+    assert out.deviation.tolist() == [d for d in dev for _ in range(k)]
+    w, y = out.whitened.to_numpy().reshape(count, k), xc @ u[:, :k] / np.sqrt(e[:k])
+    assert np.allclose(w * np.sign((w * y).sum(axis=0)), y, atol=1e-8)
+    assert np.allclose(out.explained.to_numpy()[:k], e[:k] / trace, rtol=1e-10)
+    assert np.allclose(np.cov(w.T, bias=True), np.eye(k), atol=1e-9)
+
+
+def test_rounds_take_passes_only_for_residuals():
+    """Certified against a dense solver where blocks are far smaller than the space; a product is made once a round, of one block."""
+    r = np.random.default_rng(3)
+    a = r.normal(size=(3000, 300)) @ np.diag(np.concatenate((np.linspace(9, 5, 12), np.full(288, 1.0))))
+    v = a.T @ a / 3000
+    seen = []
+
+    def product(x):
+        seen.append(x.shape[1])
+        return v @ x
+
+    e, u = whitening.lobpcg(product, r.normal(size=(300, 16)), 8)
+    want, vec = np.linalg.eigh(v)
+    assert np.allclose(e, want[::-1][:8], rtol=1e-12) and np.allclose(np.abs((u * vec[:, ::-1][:, :8]).sum(axis=0)), 1, atol=1e-10)
+    assert np.linalg.norm(v @ u - u * e, axis=0).max() <= 1e-12 * e[0] * 1.01
+    assert max(seen) <= 16 and len(seen) < 60
+
+
+def test_an_uncertified_result_is_an_error():
+    r = np.random.default_rng(4)
+    v = np.diag(np.linspace(1, 0.99, 200))
+    with pytest.raises(RuntimeError):
+        whitening.lobpcg(lambda x: v @ x, r.normal(size=(200, 10)), 8, rounds=3)
+
+
+def test_cases(spark):
+    assert whitening.whiten(frame(spark, [(1, None), (2, []), (3, [math.nan])])).count() == 0
+    assert whitening.whiten(frame(spark, []).filter("false")).columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    # equal rows have no variance; a null id and repeated rows count
+    out = whitening.whiten(frame(spark, [(None, [1.0, 2.0]), (4, [1.0, 2.0]), (4, [1.0, 2.0])])).collect()
+    assert len(out) == 6 and all(r.whitened is None and r.explained == 0 and r.deviation == 0 and r.n == 3 and r.identity_error == 0 for r in out)
+    # fewer rows than components: what has variance is whitened; other lengths are another fit list
+    r = np.random.default_rng(5)
+    out = whitening.whiten(frame(spark, [(i, v.tolist()) for i, v in enumerate(r.normal(size=(3, 10)))] + [(9, [1.0]), (10, [2.0])])).toPandas()
+    ten, one = out[out["n"] == 3], out[out["n"] == 2]
+    assert len(ten) == 24 and ten[ten.component <= 2].whitened.notna().all() and ten[ten.component > 2].whitened.isna().all()
+    assert len(one) == 2 and np.allclose(sorted(one.whitened), [-1, 1]) and one.deviation.tolist() == [1024**2] * 2
+
+
+def test_huge_components(spark):
+    out = whitening.whiten(frame(spark, [(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.0, 2.0])])).toPandas()
+    assert len(out) == 6 and out.deviation.max() == 2**63 - 1 and out[out.component == 1].whitened.notna().all()
