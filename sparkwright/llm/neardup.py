@@ -21,8 +21,10 @@ Pairs of a bucket are never rows of a table. No step has more than two parts of
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words than a
 shingle count as one shingle; texts may be of any length; rows with a null doc_id take no part, have a null component and
-count as kept; rows that repeat a document get the same component, and rows with one doc_id and different texts count as
-one document that has the links of both; doc_id is read as a long; an empty table gives an empty table. Sets are compared by their shingles' 64-bit hashes.
+count as kept; rows that repeat a document get the same component, and rows with one doc_id and different texts count in
+`run` as one document that has the links of all of them (`keep` judges each text on its own, so that none is lost); where
+doc_ids repeat, rows are numbered and the table is written once more; doc_id is read as a long; an empty table gives an
+empty table. Sets are compared by their shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -272,16 +274,25 @@ class NearDup:
 
         return add_columns(pairs, "texts", [("good", T.BooleanType())], work, drop=True).filter("good").select("a", "b").distinct()
 
-    def _linked(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of docs (doc_id, text): (doc_id, n_shingles, set_key, registers) by row, and (key, component) by set."""
+    @staticmethod
+    def _repeats(docs: DataFrame) -> DataFrame:
+        """The doc_ids that several rows have, written."""
+        return cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+
+    def _linked(self, docs: DataFrame, alike: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Of docs (doc_id, text, and more): (doc_id, n_shingles, set_key, registers, and more) by row, and (key, component) by set.
+
+        A doc_id is that of one row. alike: values of a column `own`, the rows of each of which are linked whatever their texts.
+        """
         rows = cut(self.sketches(docs))
-        classes = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
-        classes = cut(classes)
+        sets = rows.filter("set_key is not null and doc_id is not null")
+        classes = cut(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
         members = cut(self.buckets(classes))
-        twice = cut(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-        if not twice.isEmpty():  # a repeated row once
-            docs = docs.join(twice, "doc_id", "left_anti").unionByName(docs.join(twice, "doc_id", "left_semi").distinct())
         links = cut(self.verify(cut(self.propose(members, classes)), docs))
+        if alike is not None:
+            same = cut(sets.join(alike, "own", "left_semi").select("own", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select("own", "rep"))
+            low = same.groupBy("own").agg(F.min("rep").alias("a"))
+            links = links.unionByName(same.join(low, "own").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
         found = components(links)
         more = cut(self.across(members, classes, found, docs))
         if not more.isEmpty():
@@ -292,8 +303,17 @@ class NearDup:
     def run(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""
         check_columns(docs, [doc_id, text])
-        rows, of = self._linked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-        return self._report(rows, of)
+        docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        twice = self._repeats(docs)
+        if twice.isEmpty():
+            return self._report(*self._linked(docs))
+        # every row is a node of its own, and the rows of a document are linked
+        number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+        rows, of = self._linked(cut(docs.select(number.alias("doc_id"), F.col("doc_id").alias("own"), "text")), twice.withColumnRenamed("doc_id", "own"))
+        known = cut(rows.filter("doc_id is not null").join(of, F.col("set_key") == F.col("key")).select("own", "component").distinct())
+        label = known.join(known.groupBy("component").agg(F.min("own").alias("label")), "component").select(F.col("own").alias("doc"), "label")  # a row for each document
+        rows = rows.join(label, F.col("own") == F.col("doc"), "left").select(F.col("own").alias("doc_id"), "n_shingles", F.coalesce("label", "own").alias("component_id"))
+        return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
     @staticmethod
     def _report(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -302,28 +322,28 @@ class NearDup:
         return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
     def keep(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """docs without those that have a smaller doc_id in their component; of rows that repeat a doc_id and a set, one.
+        """docs with one row, that of the smallest doc_id, of each group of near duplicates; rows without words all stay.
 
-        Of rows without a doc_id, those go whose set a row with one has; of the rest, one stays for each set.
+        Where a doc_id has several texts, each row is judged by its own text: a group is of texts linked by their
+        similarity, never by their ids, so every row that goes leaves one that it is linked with. Rows without a
+        doc_id are not compared, but of those with equal sets, rows with a doc_id included, one stays.
         """
         check_columns(docs, [doc_id, text])
-        rows, of = self._linked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-        name = fresh(docs, "gone")
-        gone = cut(self._report(rows, of).filter("not kept").select(F.col("doc_id").alias(name)).distinct())
-        out = docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
-        twice = cut(rows.filter("set_key is not null").groupBy("doc_id", "set_key").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(name)).distinct())
-        if twice.isEmpty():
-            return out
-        # few rows as a rule: their sets are made again, and one of each is taken by an aggregation
-        same = F.col(doc_id).cast("long").eqNullSafe(F.col(name))
-        key, row, copy = (fresh(docs, n) for n in ("set_key", "row", "set_text"))
-        more = out.join(twice, same, "left_semi").select(F.col(doc_id).cast("long").alias(name), F.col(text).alias(copy), F.struct(*docs.columns).alias(row))
-        more = add_columns(more, copy, [(key, T.BinaryType())], lambda values: ((xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingle_set(x, self.shingle)) else None,) for x in values), drop=True)
-        known = of.select(F.col("key").alias(copy))
-        more = more.join(known, F.col(name).isNull() & (F.col(key) == F.col(copy)), "left_anti")
-        none = more.filter(F.col(key).isNull()).select(f"{row}.*")
-        once = more.filter(F.col(key).isNotNull()).groupBy(name, key).agg(F.first(row).alias(row)).select(f"{row}.*")
-        return out.join(twice, same, "left_anti").unionByName(none).unionByName(once)
+        plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        if self._repeats(plain).isEmpty() and plain.filter("doc_id is null").isEmpty():
+            name = fresh(docs, "gone")
+            gone = cut(self._report(*self._linked(plain)).filter("not kept").select(F.col("doc_id").alias(name)))
+            return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
+        # every row is a node of its own
+        name = fresh(docs, "row")
+        numbered = cut(docs.withColumn(name, F.monotonically_increasing_id()))
+        own = F.col(doc_id).cast("long")
+        rows, of = self._linked(numbered.select(F.when(own.isNotNull(), F.col(name)).alias("doc_id"), own.alias("own"), F.col(name).alias("row"), F.col(text).alias("text")))
+        rows = rows.filter("set_key is not null").join(of, F.col("set_key") == F.col("key"), "left")
+        rows = cut(rows.select("row", "own", "component", F.when(F.col("component").isNull(), F.col("set_key")).alias("lone")))
+        best = rows.groupBy("component", "lone").agg(F.min(F.struct(F.col("own").isNull(), "own", "row")).alias("best")).select(F.col("best.row").alias("row"))
+        gone = cut(rows.select("row").join(best, "row", "left_anti"))
+        return numbered.join(gone.withColumnRenamed("row", fresh(numbered, "gone")), F.col(name) == F.col(fresh(numbered, "gone")), "left_anti").drop(name)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -154,3 +154,43 @@ def test_keep_takes_one_of_repeated_rows(spark):
     out = NearDup().keep(df)
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect()) == sorted([(1, texts[0]), (1, texts[1]), (0, "ein zwei drei vier fuenf"), (0, ""), (2, ""), (2, "")])
+
+
+def test_one_id_with_several_texts(spark):
+    """Such rows are one document that has the links of all its texts; keep loses none of them."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (9, b, "x"), (7, "", "x"), (12, c, "x"), (12, c + " more", "x"), (12, "", "x"), (None, a, "x"), (None, c + " more", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = NearDup(shingle=4).run(df).collect()
+    assert len(out) == len(rows)
+    assert sorted({(r.doc_id or 0, r.component_id or 0, r.kept) for r in out}) == [(0, 0, True), (3, 3, True), (7, 3, False), (9, 3, False), (12, 12, True)]
+    kept = sorted((r.doc_id, r.text) for r in NearDup(shingle=4).keep(df).collect())
+    assert [k for k in kept if k[1]] == [(3, a), (7, b), (12, kept[-1][1])] and [k[0] for k in kept if not k[1]] == [7, 12]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ids_that_repeat_like_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for g in range(3):
+        rows += near_copies(r, [f"g{g}w{k}" for k in range(60)], 30, 0, 8)
+    rows = [(r.randrange(45), t, c) for _, t, c in rows] + [(r.randrange(45), " ".join(f"w{r.randrange(99)}" for _ in range(20)), "c") for _ in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    # components: texts as nodes, linked by similarity or by a common id
+    text = [(n, t, "c") for n, (_, t, _) in enumerate(rows)]
+    similar = {n: c for n, (_, c) in brute(text, 4, 80).items()}
+    label = {i: i for i, _, _ in rows}
+    for _ in rows:
+        for n, (i, _, _) in enumerate(rows):
+            m = min(label[j] for k, (j, _, _) in enumerate(rows) if similar[k] == similar[n] or j == i)
+            label[i] = min(label[i], m)
+    got = NearDup(shingle=4).run(df).collect()
+    assert len(got) == len(rows) and all(x.component_id == label[x.doc_id] for x in got)
+    # keep: one row, of the smallest id, for each group of similar texts
+    kept = NearDup(shingle=4).keep(df).collect()
+    want = sorted(min(rows[k][0] for k in range(len(rows)) if similar[k] == s) for s in set(similar.values()))
+    assert sorted(x.doc_id for x in kept) == want
+    at = {}
+    for n, (i, t, _) in enumerate(rows):
+        at[(i, t)] = similar[n]
+    assert sorted(at[(x.doc_id, x.text)] for x in kept) == sorted(set(similar.values()))
