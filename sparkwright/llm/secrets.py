@@ -4,10 +4,13 @@ A vocabulary made from text has long tokens for what people write. A random stri
 characters, so its characters per token are few. Strings of known form that look random and are no secrets, such as
 digests, UUIDs, numbers and names made of words, are put aside first.
 
-What the token test looks at: whole runs of letters, digits and + / _ = - that hold a letter and have `shortest` characters
-or more (16 by default, a parameter; a dot or any other sign ends a run, and runs of digits and signs alone are numbers).
-A name is a run whose parts between signs are each a word in small letters or camel case, or in capitals, with up to four
-digits after it. All tests take time in proportion to a run's length.
+What the token test looks at: runs of letters, digits and + / _ = - that hold a letter and have `shortest` characters or
+more (8 by default, a parameter; runs of digits and signs alone are numbers), and, where dots join several of which none
+is random by itself, all of them together. Few characters tell less than many, so the limit rises smoothly with the length
+n, as 1 - 1.6 / n. A name is a run whose parts between signs are each a word in small letters or camel case, or in capitals,
+with up to four digits after it; as short words of any language look alike, its letters are held against a limit that rises
+as 1 - 25 / n^2: of 8 letters in one case none count as random, of 16 most. All tests take time in proportion to a run's
+length.
 
 Cases: null and empty texts have no spans; whole texts of any length are read; positions count code points and the end
 is exclusive; spans of one kind never overlap; repeated rows give equal results; an empty table gives an empty table;
@@ -34,13 +37,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Runs that the test looks at, and those of them that are set aside: digests by length, UUIDs, and names of plain or joined words and short numbers, if their words compress.
-STRINGS = re.compile(r"[A-Za-z0-9+/_=-]+")
+STRINGS = re.compile(r"[A-Za-z0-9+/_=.-]+")
+PARTS = re.compile(r"[^.]+")
 LETTER = re.compile(r"[A-Za-z]")
-#: Strings under LONG characters need a ratio below STRICT times that of others.
-LONG, STRICT = 20, 0.9
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
-SIGNS = re.compile(r"[+/_=-]+")
+SIGNS = re.compile(r"[+/_=.-]+")
 WORD = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)?[0-9]{0,4}")
 RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -73,22 +75,31 @@ def _plain(name: str, enc: Encoder, limit: float) -> bool:
     return letters < 6 or letters >= limit * tokens
 
 
-def random_spans(text: str, enc: Encoder, most: float, known: frozenset[str], shortest: int = 16) -> list[tuple[str, int, int]]:
-    """Strings with fewer than `most` characters per token. A string shaped as a name is none only if its letters compress, or are under six."""
+def _random(s: str, enc: Encoder, most: float, known: frozenset[str]) -> bool:
+    """Whether a string has so few characters per token that it is no writing. One shaped as a name is only if its letters, six or more, don't compress."""
+    if not LETTER.search(s) or s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
+        return False
+    n = len(s)
+    return n < most * (1 - 1.6 / n) * len(enc.encode(s)) and not (_named(s) and _plain(s, enc, most * (1 - 25 / n**2)))
+
+
+def random_spans(text: str, enc: Encoder, most: float, known: frozenset[str], shortest: int = 8) -> list[tuple[str, int, int]]:
+    """Random strings. Of parts joined by dots those that are, or else the whole if that is."""
     out = []
     for m in STRINGS.finditer(text):
-        if m.end() - m.start() < shortest:
-            continue
         s = m[0]
-        if not LETTER.search(s) or s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
+        if len(s) < shortest:
             continue
-        limit = most if len(s) >= LONG else STRICT * most
-        if len(s) < limit * len(enc.encode(s)) and not (_named(s) and _plain(s, enc, limit)):
-            out.append(("random", *m.span()))
+        parts = [(a + m.start(), b + m.start()) for a, b in (p.span() for p in PARTS.finditer(s))]
+        found = [(a, b) for a, b in parts if b - a >= shortest and _random(text[a:b], enc, most, known)]
+        if not found and len(parts) > 1:
+            a, b = parts[0][0], parts[-1][1]
+            found = [(a, b)] if b - a >= shortest and _random(text[a:b], enc, most, known) else []
+        out += [("random", a, b) for a, b in found]
     return out
 
 
-def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str], shortest: int = 16) -> list[tuple[str, int, int]]:
+def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str], shortest: int = 8) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind. A random string that meets a span known by form is left to that."""
     if not text:
         return []
@@ -103,7 +114,7 @@ def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str], sh
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found: str = "secrets", most: float = 2.0, known: Iterable[str] = (), shortest: int = 16, drop: bool = False) -> DataFrame:
+def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found: str = "secrets", most: float = 2.0, known: Iterable[str] = (), shortest: int = 8, drop: bool = False) -> DataFrame:
     """df and a column of the spans of each whole text: array of (kind, start, end).
 
     most: strings with fewer characters per token than this count as random. known: strings, few, that are no secrets.
@@ -118,7 +129,7 @@ def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found
     return add_columns(df, text, [(found, SPANS)], work, drop)
 
 
-def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mark: str = "[SECRET]", most: float = 2.0, known: Iterable[str] = (), shortest: int = 16) -> DataFrame:
+def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mark: str = "[SECRET]", most: float = 2.0, known: Iterable[str] = (), shortest: int = 8) -> DataFrame:
     """df with each span of its texts, overlapping ones joined, replaced by the mark. Other texts, and nulls, stay as they are."""
     known = frozenset(known)
 

@@ -94,6 +94,24 @@ def test_misses_and_false_alarms(enc):
         assert not any(found(shape(r.sample(words, 3)), enc) for _ in range(300))
 
 
+def test_by_length(enc, small, spark):
+    """Misses of random strings, by length from 8 characters up; strings in dots; false alarms among the words of whole documents."""
+    import random
+    import string
+
+    r = random.Random(6)
+    pick = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    both = string.ascii_letters + string.digits
+    for n, most in ((8, 0.12), (9, 0.05), (10, 0.02), (12, 0.02), (14, 0.02), (15, 0.02), (16, 0.01), (24, 0.01)):
+        assert sum(not found(pick(both, n), enc) for _ in range(1000)) <= most * 1000, n
+    for size in (4, 5, 7, 15):
+        assert sum(not found(".".join(pick(both, size) for _ in range(3)), enc) for _ in range(500)) <= 10, size
+    assert found("www.example.com/index.html, version 2.14.0-beta1, and so on...then.More", enc) == []
+    texts = [x.text for x in spark.read.parquet(f"{small}/documents.parquet").collect() if x.text]
+    spans = [(x, s) for x in texts for s in secrets.random_spans(x, enc, 2.0, frozenset())]
+    assert sum(x[a:b].isalpha() for x, (_, a, b) in spans) <= 5
+
+
 @pytest.mark.parametrize("sign", ["=", "-", "_", "+/", "aB", "a1", "A-", "1"])
 def test_rulers_take_linear_time(enc, sign):
     import time
@@ -123,19 +141,30 @@ def plain_random(text):
         _library = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
     count = lambda s: len(_library.encode_ordinary(s))
     letters = "abcdefghijklmnopqrstuvwxyz"
-    out, at = [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32], 0
-    base = list(out)
+
+    def random_(s):
+        hexed = s.lower().strip("0123456789abcdef") == "" and len(s) in (32, 40, 56, 64, 96, 128)
+        uuid = [len(x) for x in s.split("-")] == [8, 4, 4, 4, 12] and s.lower().replace("-", "").strip("0123456789abcdef") == ""
+        if len(s) < 8 or hexed or uuid or not any(c.isalpha() for c in s):
+            return False
+        name = plain_name(s) and plain_letters(s, count, 2.0 * (1 - 25 / len(s) ** 2))
+        return len(s) < 2.0 * (1 - 1.6 / len(s)) * count(s) and not name
+
+    base = [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    out, at = list(base), 0
     while at < len(text):
         end = at
-        while end < len(text) and text[end] in letters + letters.upper() + "0123456789+/_=-":
+        while end < len(text) and text[end] in letters + letters.upper() + "0123456789+/_=-.":
             end += 1
-        s = text[at:end]
-        if len(s) >= 16 and any(c.isalpha() for c in s) and not any(a < end and at < b for _, a, b in base):
-            hexed = s.lower().strip("0123456789abcdef") == "" and len(s) in (32, 40, 56, 64, 96, 128)
-            uuid = [len(x) for x in s.split("-")] == [8, 4, 4, 4, 12] and s.lower().replace("-", "").strip("0123456789abcdef") == ""
-            limit = 2.0 if len(s) >= 20 else 1.8
-            if not hexed and not uuid and len(s) < limit * count(s) and not (plain_name(s) and plain_letters(s, count, limit)):
-                out.append(("random", at, end))
+        pieces, k = [], at
+        for piece in text[at:end].split("."):
+            if piece:
+                pieces.append((k, k + len(piece)))
+            k += len(piece) + 1
+        found = [(a, b) for a, b in pieces if random_(text[a:b])]
+        if not found and len(pieces) > 1 and random_(text[pieces[0][0] : pieces[-1][1]]):
+            found = [(pieces[0][0], pieces[-1][1])]
+        out += [("random", a, b) for a, b in found if not any(x < b and a < y for _, x, y in base)]
         at = max(end, at + 1)
     return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
 
@@ -181,8 +210,8 @@ def test_random_spans_like_plain(small, spark, enc):
     import string
 
     r = random.Random(8)
-    signs = string.ascii_letters * 2 + string.digits + "+/_=-"
-    made = ["".join(r.choice(signs[:k]) for _ in range(r.randrange(10, 40))) for k in (26, 52, 114, 119) for _ in range(300)]
+    signs = string.ascii_letters * 2 + string.digits + "+/_=-."
+    made = ["".join(r.choice(signs[:k]) for _ in range(r.randrange(6, 40))) for k in (26, 52, 114, 120) for _ in range(300)]
     made += ["_".join(r.choice(("order", "Total", "SUM", "x1", "a2b", "2024", "")) for _ in range(6)) for _ in range(300)]
     texts = [" . ".join(made), *made, *(x.text for x in spark.read.parquet(f"{small}/documents.parquet").collect() if x.text)]
     for t in texts:
