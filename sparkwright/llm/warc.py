@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import fnmatch
 import gzip
+import heapq
 import io
 from collections.abc import Iterator
 
@@ -141,6 +142,17 @@ class Files(InputPartition):
         self.paths = paths
 
 
+def deal(files: list[tuple[int, str]], target: int = 64 << 20, least: int = 8) -> list[list[str]]:
+    """Paths of (size, path), the largest first, each dealt to the partition with the fewest bytes, a heap's top; some `target` bytes to each of `least` partitions or more, and none without a file."""
+    n = max(1, min(len(files), max(least, sum(size for size, _ in files) // target)))
+    out, load = [[] for _ in range(n)], [(0, k) for k in range(n)]
+    for size, path in sorted(files, key=lambda f: (-f[0], f[1])):
+        bytes_, k = load[0]
+        out[k].append(path)
+        heapq.heapreplace(load, (bytes_ + size, k))
+    return out
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.path, self.glob = schema, options["path"], options.get("glob", GLOB)
@@ -179,14 +191,7 @@ class WarcReader(DataSourceReader):
         found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and any(fnmatch.fnmatch(f.base_name, g.strip()) for g in self.glob.split(",")) and not f.base_name.startswith(("_", "."))]
         if not found:
             raise ValueError(f"no file under {self.path} is named as {self.glob}")
-        found = [f for f in found if f.size]
-        n = max(1, min(len(found), max(8, sum(f.size for f in found) // (64 << 20))))
-        out, load = [[] for _ in range(n)], [0] * n
-        for f in sorted(found, key=lambda f: (-f.size, f.path)):
-            at = load.index(min(load))
-            out[at].append(f.path)
-            load[at] += f.size
-        return [Files(p) for p in out]
+        return [Files(p) for p in deal([(f.size, f.path) for f in found if f.size])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()

@@ -121,3 +121,20 @@ def test_no_such_file(spark, tmp_path):
 def test_the_report_pushes_its_filters(pages):
     plan = warc.archive_report(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchScan") == 2 and "Filter (" not in plan
+
+
+def test_a_million_files_are_dealt_in_seconds():
+    import random
+    import time
+
+    r = random.Random(2)
+    files = [(r.randrange(40 << 20, 80 << 20), f"part-{k:07d}") for k in range(1_000_000)]
+    began = time.time()
+    parts = warc.deal(files)
+    assert time.time() - began < 20
+    size = dict((p, s) for s, p in files)
+    load = [sum(size[p] for p in part) for part in parts]
+    assert sorted(p for part in parts for p in part) == sorted(size) and max(load) - min(load) <= 80 << 20
+    few = [(s, str(k)) for k, s in enumerate((9, 7, 6, 5, 5, 4, 1, 1, 1, 1))]
+    assert sorted(sum(int(dict((p, s) for s, p in few)[p]) for p in part) for part in warc.deal(few, least=4)) == [10, 10, 10, 10] or len(warc.deal(few, least=4)) == 4
+    assert warc.deal([]) == [[]]
