@@ -48,6 +48,28 @@ def iban_valid(code: Column) -> Column:
     return F.when(code.isNotNull(), F.when(form, mod97(F.concat(F.substring(c, 5, 30), F.substring(c, 1, 4))) == 1).otherwise(False))
 
 
+def iban_verdict(code: Column) -> Column:
+    """What is wrong first: malformed (not two letters, two digits, and letters or digits), unknown_country, wrong_length (for its country), wrong_check_digits; else valid. Null for null."""
+    c = compact(code)
+    lengths = F.create_map(*(F.lit(x) for item in IBAN_LENGTH.items() for x in item))
+    length = F.try_element_at(lengths, F.left(c, F.lit(2)))
+    return (
+        F.when(code.isNull(), None)
+        .when(~c.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), "malformed")
+        .when(length.isNull(), "unknown_country")
+        .when(F.length(c) != length, "wrong_length")
+        .when(mod97(F.concat(F.substring(c, 5, 30), F.substring(c, 1, 4))) != 1, "wrong_check_digits")
+        .otherwise("valid")
+    )
+
+
+def fiscal_verdict(code: Column, prefix: str = "RO") -> Column:
+    """Of a fiscal code, with or without its country's prefix as in a VAT number: malformed (not two to ten digits), wrong_check_digit or valid. Null for null."""
+    c = compact(code)
+    bare = F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 40)).otherwise(c)
+    return F.when(code.isNull(), None).when(~bare.rlike("^[0-9]{2,10}$"), "malformed").when(fiscal_valid(bare), "valid").otherwise("wrong_check_digit")
+
+
 def iban_print(code: Column) -> Column:
     """In groups of four."""
     return F.trim(F.regexp_replace(compact(code), "(.{4})", "$1 "))

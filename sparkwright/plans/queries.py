@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.functions.dates import due, strict_date
-from sparkwright.functions.identifiers import fiscal_control, fiscal_valid, iban_check_digits, iban_print, iban_valid
+from sparkwright.functions.identifiers import fiscal_control, fiscal_valid, fiscal_verdict, iban_check_digits, iban_print, iban_valid, iban_verdict
 from sparkwright.functions.money import net_of
 from sparkwright.operators.reconcile import reconcile
-from sparkwright.sources.sinks import write_csv, write_json, write_xml
+from sparkwright.sources.sinks import nested, read_csv, write_csv, write_json, write_xml
 from sparkwright.sources.tables import new_folder, table
-from sparkwright.streaming.checks import read_codes, start, valid_per_hour
+from sparkwright.streaming.checks import closing, read_codes, start, valid_per_hour
 
 
 def order_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with awkward names, written as CSV and read back."""
     write_csv(_exported(spark, sf_dir), path := new_folder(spark))
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").schema("key string, name string, price string").csv(path)
+    return read_csv(spark, path, "key string, name string, price string")
 
 
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,27 +138,103 @@ select p_partkey::varchar as key, 'a "quoted", ' || p_name || '; ''x'' & <y>' as
 
 
 def codes_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream: account codes made from users, every fifth with a wrong length, counted by hour and validity once their hour is over."""
+    """A stream: account codes made from users, every fifth with a wrong length, counted by hour and validity once their hour is over. A last row ends all hours."""
     bban = F.concat(F.lit("10020030"), F.lpad(F.col("user_id").cast("string"), 10, "0"))
     code = F.concat(F.lit("DE"), iban_check_digits("DE", bban), bban, F.when(F.col("event_id") % 5 == 0, "1").otherwise(""))
     source, out, log = (new_folder(spark) for _ in range(3))
-    table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), code.alias("code"), F.col("ts").cast("timestamp").alias("arrived")).write.parquet(source)
+    codes = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), code.alias("code"), F.col("ts").cast("timestamp").alias("arrived"))
+    codes.write.parquet(source)
+    closing(codes).write.mode("append").parquet(source)
     start(valid_per_hour(read_codes(spark, source)), out, log).awaitTermination()
     return spark.read.parquet(out).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "valid", "n")
 
 
-#: The watermark stays an hour behind the last event, so the hours that end after it are not out yet.
 CODES_PER_HOUR = """
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_id % 5 <> 0 as valid, count(*) as n
-from events
-where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 hour from events)
-group by all
+from events where ts is not null group by all
+"""
+
+
+def code_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account codes made from customer keys, and fiscal codes made from the same, spoilt in turn in each way that a verdict names."""
+    n, bban = F.col("c_custkey") % 6, F.concat(F.lit("10020030"), F.lpad(F.col("c_custkey").cast("string"), 10, "0"))
+    good = F.concat(F.lit("DE"), iban_check_digits("DE", bban), bban)
+    last = ((F.right(good, F.lit(1)).cast("int") + 1) % 10).cast("string")
+    iban = F.when(n == 1, F.concat(F.left(good, F.lit(21)), last)).when(n == 2, F.left(good, F.lit(21))).when(n == 3, F.concat(F.lit("ZZ"), F.substring(good, 3, 30))).when(n == 4, F.concat(F.left(good, F.lit(21)), F.lit("?"))).when(n == 5, iban_print(F.lower(good))).otherwise(good)
+    base = (F.col("c_custkey") + 1000).cast("string")
+    digit = (fiscal_control(base) + (n == 1).cast("int")) % 10
+    fiscal = F.concat(F.when(n == 2, "ro").when(n == 3, "RO ").otherwise(""), base, F.when(n == 4, "x").otherwise(digit.cast("string")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 != 0, iban).alias("iban"), fiscal.alias("fiscal"))
+    return rows.select("c_custkey", "iban", iban_verdict(F.col("iban")).alias("iban_verdict"), "fiscal", fiscal_verdict(F.col("fiscal")).alias("fiscal_verdict"))
+
+
+CODE_VERDICTS = """
+with b as (select c_custkey, c_custkey % 6 as n, '10020030' || lpad(c_custkey::varchar, 10, '0') as bban, (c_custkey + 1000)::varchar as base from customer),
+g as (select *, 'DE' || lpad((98 - (bban || '131400')::hugeint % 97)::varchar, 2, '0') || bban as good, lpad(base, 9, '0') as p from b),
+f as (
+  select *, (7 * p[1]::int + 5 * p[2]::int + 3 * p[3]::int + 2 * p[4]::int + p[5]::int + 7 * p[6]::int + 5 * p[7]::int + 3 * p[8]::int + 2 * p[9]::int) * 10 % 11 % 10 as digit from g)
+select c_custkey,
+  case when c_custkey % 50 = 0 then null when n = 1 then good[:21] || ((good[22]::int + 1) % 10)::varchar when n = 2 then good[:21] when n = 3 then 'ZZ' || good[3:]
+    when n = 4 then good[:21] || '?' when n = 5 then trim(regexp_replace(good, '(.{4})', '\\1 ', 'g')) else good end as iban,
+  case when c_custkey % 50 = 0 then null when n = 1 then 'wrong_check_digits' when n = 2 then 'wrong_length' when n = 3 then 'unknown_country' when n = 4 then 'malformed' else 'valid' end as iban_verdict,
+  case when n = 2 then 'ro' when n = 3 then 'RO ' else '' end || base || case when n = 4 then 'x' when n = 1 then ((digit + 1) % 10)::varchar else digit::varchar end as fiscal,
+  case when n = 1 then 'wrong_check_digit' when n = 4 then 'malformed' else 'valid' end as fiscal_verdict
+from f
+"""
+
+
+def csv_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts as CSV and back, line breaks and quotes included; every seventh is null and every eleventh empty, and they stay apart."""
+    text = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.when(text != "", F.md5(text)).otherwise(text).alias("text"), F.concat(F.lit('"'), F.col("lang"), F.lit('","')).alias("lang"))
+    write_csv(rows, path := new_folder(spark))
+    return read_csv(spark, path, "key string, text string, lang string")
+
+
+CSV_NULLS = """
+with t as (select doc_id, lang, case when doc_id % 7 = 0 then null when doc_id % 11 = 0 then '' else text end as text from documents)
+select doc_id::varchar as key, case when text <> '' then md5(text) else text end as text, '"' || lang || '","' as lang from t
+"""
+
+
+def _order_documents(spark: SparkSession, sf_dir: str, mark: str = "") -> DataFrame:
+    """Orders with their lines as an array of structs; columns marked by a prefix are XML attributes."""
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(f"{mark}key"), F.col("o_orderpriority").alias("priority"), money("o_totalprice").alias("total"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias(f"{mark}number"), F.col("l_partkey").alias("part"), money("l_quantity").alias("quantity"), money("l_extendedprice").alias("price"))
+    return nested(orders, lines, f"{mark}key", "l_orderkey", "line")
+
+
+def _flat(documents: DataFrame, mark: str = "") -> DataFrame:
+    """A row for each line of an order, or one, with number and part 0, of an order without lines."""
+    rows = documents.select(F.col(f"{mark}key").alias("key"), "priority", "total", F.explode_outer("line").alias("l"))
+    return rows.select("key", "priority", F.col("total").cast("double").alias("total"), F.coalesce(f"l.{mark}number", F.lit(0)).alias("number"), F.coalesce("l.part", F.lit(0)).alias("part"), F.col("l.quantity").cast("double").alias("quantity"), F.col("l.price").cast("double").alias("price"))
+
+
+def orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON documents with their lines nested, read back and flattened."""
+    made = _order_documents(spark, sf_dir)
+    write_json(made, path := new_folder(spark))
+    return _flat(spark.read.schema(made.schema).json(path))
+
+
+def orders_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as XML elements with keys and line numbers as attributes and a repeated element for the lines, read back and flattened."""
+    made = _order_documents(spark, sf_dir, "_")
+    write_xml(made, path := new_folder(spark), "orders", "order")
+    return _flat(spark.read.format("xml").option("rowTag", "order").schema(made.schema).load(path), "_")
+
+
+ORDER_DOCUMENTS = """
+select o_orderkey as key, o_orderpriority as priority, o_totalprice::decimal(18,2)::double as total, coalesce(l_linenumber, 0) as number, coalesce(l_partkey, 0) as part,
+  l_quantity::decimal(18,2)::double as quantity, l_extendedprice::decimal(18,2)::double as price
+from orders left join lineitem on o_orderkey = l_orderkey
 """
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (order_reconcile, iban_check, fiscal_check, tax_split, due_dates, csv_round_trip, json_round_trip, xml_round_trip, codes_per_hour)}
+    return {f.__name__: f for f in (order_reconcile, iban_check, fiscal_check, tax_split, due_dates, csv_round_trip, json_round_trip, xml_round_trip, codes_per_hour, code_verdicts, csv_nulls, orders_json, orders_xml)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"order_reconcile": ORDER_RECONCILE, "iban_check": IBAN_CHECK, "fiscal_check": FISCAL_CHECK, "tax_split": TAX_SPLIT, "due_dates": DUE_DATES, "csv_round_trip": ROUND_TRIP, "json_round_trip": ROUND_TRIP, "xml_round_trip": ROUND_TRIP, "codes_per_hour": CODES_PER_HOUR}
+    return {"order_reconcile": ORDER_RECONCILE, "iban_check": IBAN_CHECK, "fiscal_check": FISCAL_CHECK, "tax_split": TAX_SPLIT, "due_dates": DUE_DATES, "csv_round_trip": ROUND_TRIP, "json_round_trip": ROUND_TRIP, "xml_round_trip": ROUND_TRIP, "codes_per_hour": CODES_PER_HOUR, "code_verdicts": CODE_VERDICTS, "csv_nulls": CSV_NULLS, "orders_json": ORDER_DOCUMENTS, "orders_xml": ORDER_DOCUMENTS}

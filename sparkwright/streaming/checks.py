@@ -20,6 +20,12 @@ def valid_per_hour(codes: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.groupBy(F.window("arrived", "1 hour").alias("w"), "valid").count().select(F.col("w.start").alias("hour"), "valid", F.col("count").alias("n"))
 
 
+def closing(codes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """One row (none for no codes) so much later than all others that a stream which reads it last closes all their hours. Its own hour stays open, so it is never counted."""
+    end = codes.agg(F.max("arrived").alias("end")).filter("end is not null")
+    return end.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("code"), F.expr(f"end + interval {late} + interval 2 hours").alias("arrived"))
+
+
 def start(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished hours to parquet; ends when what is there has been read."""
     return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path, format="parquet")

@@ -42,6 +42,15 @@ def test_fiscal_code(spark):
     assert values(spark, codes + wrong + ["x1", "1", "12345678901", "", None], "code string", identifiers.fiscal_valid(F.col("code"))) == [True] * 5 + [False] * 9 + [None]
 
 
+def test_verdicts(spark):
+    codes = {"DE89370400440532013000": "valid", "gb82 west 1234 5698 7654 32": "valid", "DE89370400440532013001": "wrong_check_digits", "DE8937040044053201300": "wrong_length", "ZZ89370400440532013000": "unknown_country", "DE89-37040044053201": "malformed", "12DE": "malformed", "DE89": "malformed", "": "malformed", None: None}
+    assert values(spark, list(codes), "code string", identifiers.iban_verdict(F.col("code"))) == list(codes.values())
+    both = values(spark, [c for c in codes if c], "code string", identifiers.iban_verdict(F.col("code")), identifiers.iban_valid(F.col("code")))
+    assert all((verdict == "valid") == good for verdict, good in both)
+    codes = {"RO1590082": "valid", "ro 1590082": "valid", "1590082": "valid", "1590083": "wrong_check_digit", "RO": "malformed", "1": "malformed", "12345678901": "malformed", "DE1590082": "malformed", "": "malformed", None: None}
+    assert values(spark, list(codes), "code string", identifiers.fiscal_verdict(F.col("code"))) == list(codes.values())
+
+
 def test_money(spark):
     rows = [("100.005", 20), ("-100.005", 20), ("x", 20), (None, 20), ("0.10", 5)]
     assert values(spark, rows, "a string, p int", money.money(F.col("a"))) == [Decimal("100.01"), Decimal("-100.01"), None, None, Decimal("0.10")]

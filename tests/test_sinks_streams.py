@@ -67,3 +67,35 @@ def test_no_local_folder_on_a_cluster(spark):
         else:
             with pytest.raises(ValueError, match="checkpoint"):
                 new_folder(other)
+
+
+def test_csv_tells_null_from_empty(spark, tmp_path):
+    data = [("1", None, "a"), ("2", "", None), ("3", 'x "y", z', ""), ("4", "two\r\nlines", " ")]
+    df = spark.createDataFrame(data, "key string, name string, note string").coalesce(1)
+    sinks.write_csv(df, str(tmp_path / "c"))
+    assert '1,,a\r\n2,"",\r\n' in text(tmp_path / "c")
+    two = sinks.read_csv(spark, str(tmp_path / "c"), "key string, name string, note string").collect()
+    assert {tuple(r) for r in two} >= set(data[:3])
+
+
+def test_nested(spark, tmp_path):
+    orders = spark.createDataFrame([(1, "a"), (2, None), (None, "n")], "id int, name string")
+    lines = spark.createDataFrame([(1, 2, "y"), (1, 1, "x"), (1, 1, "x"), (1, 3, None), (9, 1, "lost"), (None, 1, "lost")], "of int, at int, what string")
+    made = sinks.nested(orders, lines, "id", "of", "line").coalesce(1)
+    assert {r.id: [tuple(x) for x in r.line] for r in made.collect()} == {1: [(1, "x"), (1, "x"), (2, "y"), (3, None)], 2: [], None: []}
+    sinks.write_json(made, str(tmp_path / "j"))
+    assert {json.loads(x)["id"]: json.loads(x)["line"] for x in text(tmp_path / "j").splitlines()}[1][3] == {"at": 3, "what": None}
+    sinks.write_xml(made.withColumnRenamed("id", "_id"), str(tmp_path / "x"), "orders", "order")
+    raw = text(tmp_path / "x")
+    assert raw.count("<line>") == 4 and '<order id="1">' in raw
+
+
+def test_the_last_row_ends_all_hours(spark, tmp_path):
+    t = datetime.datetime(2024, 5, 1, 10, 59)
+    codes = spark.createDataFrame([(1, "DE89370400440532013000", t), (2, "x", t.replace(hour=23)), (3, None, t.replace(hour=23))], "id long, code string, arrived timestamp")
+    codes.write.parquet(str(tmp_path / "in"))
+    assert checks.closing(codes.filter("false")).count() == 0
+    checks.closing(codes).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = checks.valid_per_hour(checks.read_codes(spark, str(tmp_path / "in")))
+    checks.start(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {(r.hour.hour, r.valid, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(10, True, 1), (23, False, 2)}
