@@ -3,8 +3,9 @@
 Vectors are scaled to length 1 and each half is quantised on its own, so that k centroids a half make k * k cells. The
 centroids are fitted to at most `sample` rows (the first by a hash of the row); every row is put into its cell. A query
 traverses pairs of centroids by the sum of its two squared distances, by a heap over the two sorted lists, until the cells
-visited hold `share` of all entries, or `least` entries. Cells lie in chunks of neighbours; the query goes, with the list of
-those that it visits there, to each chunk that has any, and their entries are reranked by their cosine in doubles.
+visited hold `share` of all entries, or `least` entries. The cells visited are those whose summed distance is not above the
+last one's, so that one number says which they are: the query goes with it to each chunk that has any of them (cells lie in
+chunks of neighbours), and there the entries of those cells are reranked by their cosine in doubles.
 
 Of vectors without structure, as in the tests' table, some 0.3 of the entries must be visited for a recall of 0.94; the
 share is a parameter.
@@ -65,8 +66,13 @@ class MultiIndex:
         a, b = (_distance(h, c).argmin(axis=1) for h, c in zip(self._halves(unit(x)), self.c, strict=True))
         return a * len(self.c[1]) + b
 
-    def visit(self, x: np.ndarray, counts: np.ndarray, enough: float | np.ndarray) -> Iterator[list[int]]:
-        """For each query, the cells with entries that it visits, the nearest first. enough: entries, for all queries or for each."""
+    def summed(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Of queries by cells: the sum of the two halves' squared distances from the cell's centroids."""
+        a, b = (_distance(h, c) for h, c in zip(self._halves(unit(x)), self.c, strict=True))
+        return a[:, cells // len(self.c[1])] + b[:, cells % len(self.c[1])]
+
+    def visit(self, x: np.ndarray, counts: np.ndarray, enough: float | np.ndarray) -> Iterator[tuple[list[int], float]]:
+        """For each query, the cells with entries that it visits, the nearest first, and the last one's summed distance. enough: entries, for all queries or for each."""
         width, counts = len(self.c[1]), counts.tolist()
         both = [_distance(h, c) for h, c in zip(self._halves(unit(x)), self.c, strict=True)]
         for a, b, most in zip(*both, np.broadcast_to(enough, len(x)).tolist(), strict=True):
@@ -74,23 +80,25 @@ class MultiIndex:
             da, db = a[order[0]].tolist(), b[order[1]].tolist()
             first, second = (order[0] * width).tolist(), order[1].tolist()
             # of each row i of the grid, its next column: (i, j) is pushed once (i, j - 1) is taken, and row i + 1 begins when row i does
-            heap, found, out = [(da[0] + db[0], 0, 0)], 0, []
+            heap, found, out, far = [(da[0] + db[0], 0, 0)], 0, [], 0.0
             while heap and found < most:
-                _, i, j = heapq.heappop(heap)
+                near, i, j = heapq.heappop(heap)
                 if n := counts[at := first[i] + second[j]]:
                     out.append(at)
                     found += n
+                    far = near
                 if j + 1 < len(db):
                     heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
                 if j == 0 and i + 1 < len(da):
                     heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
-            yield out
+            yield out, far
 
 
 class Rerank:
-    """A chunk's entries by cell, and how queries are held against the cells that they visit."""
+    """A chunk's entries by cell, and how queries are held against the cells that they visit: those within the distance `far` that they bring."""
 
-    def __init__(self, rows: pa.Table, size: int):
+    def __init__(self, rows: pa.Table, size: int, index: MultiIndex):
+        self.index = index
         cell = rows.column("cell").to_numpy()
         order = np.argsort(cell, kind="stable")
         self.x, self.ids = matrix(rows.column("embedding"), size)[order], rows.column("vec_id").to_numpy()[order]
@@ -99,13 +107,8 @@ class Rerank:
 
     def __call__(self, best: Best, rows: pa.Table) -> None:
         q = matrix(rows.column("embedding"), self.x.shape[1])
-        u, cells = unit(q), rows.column("cells").combine_chunks()
-        asks = np.zeros((len(q), len(self.cells)), bool)
-        who = np.repeat(np.arange(len(q)), np.diff(cells.offsets.to_numpy()))
-        which = cells.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(self.cells, which), len(self.cells) - 1)
-        here = self.cells[at] == which
-        asks[who[here], at[here]] = True
+        u = unit(q)
+        asks = self.index.summed(q, self.cells) <= rows.column("far").to_numpy()[:, None] + 1e-9  # distances of unit vectors; rounding must lose none
         for low in range(0, len(self.x), 1024):
             high = min(low + 1024, len(self.x))
             visited = asks[:, self.of[low:high]]
@@ -138,7 +141,7 @@ def _chunks(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, deal
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 256, sample: int = 20_000, share: float = 0.3, least: int = 1000, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 256, sample: int = 20_000, share: float = 0.3, least: int = 300, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query picks, the k other rows of largest cosine that were found."""
     check_columns(rows, [vec_id, embedding])
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asks"))
@@ -162,20 +165,15 @@ def _nearest(same: DataFrame, size: int, k: int, centroids: int, sample: int, sh
     own = entries.groupBy("vec_id").agg(F.count("*").alias("own")).filter("own > 1").withColumnRenamed("vec_id", "of")
     queries = queries_of(entries).join(own, F.col("query_id") == F.col("of"), "left").select("query_id", "embedding", F.struct("embedding", F.coalesce("own", F.lit(1)).alias("own")).alias("row"))
 
-    def visited(values: list) -> Iterator[tuple[list]]:
+    def visited(values: list) -> Iterator[tuple[list[int], float]]:
         x, own = np.array([v["embedding"] for v in values], np.float64).reshape(-1, size), np.array([v["own"] for v in values])
-        for cells in index.visit(x, counts, enough + own - 1):
-            by: dict[int, list[int]] = {}
-            for c in cells:
-                for i in range(first[c], first[c] + deal[c]):
-                    by.setdefault(int(i), []).append(c)
-            yield ([{"chunk": i, "cells": c} for i, c in by.items()],)
-
-    kind = T.ArrayType(T.StructType([T.StructField("chunk", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+        for cells, far in index.visit(x, counts, enough + own - 1):
+            yield sorted({int(i) for c in cells for i in range(first[c], first[c] + deal[c])}), far
+
     n = int(same.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asks = add_columns(queries.repartition(n), "row", [("visits", kind)], visited, drop=True)
-    asks = asks.select("query_id", "embedding", F.inline("visits"), F.lit(None).cast("double").alias("least"))
+    asks = add_columns(queries.repartition(n), "row", [("chunks", T.ArrayType(T.LongType())), ("far", T.DoubleType())], visited, drop=True)
+    asks = asks.select("query_id", "embedding", F.explode("chunks").alias("chunk"), "far", F.lit(None).cast("double").alias("least"))
     listed = lambda a: F.split(F.lit(",".join(map(str, a.tolist()))), ",").cast("array<bigint>")
     place = lambda a: F.element_at(listed(a), F.col("cell") + 1)
     entries = entries.select((place(first) + F.pmod(row_hash(), place(deal))).alias("chunk"), "vec_id", "embedding", "cell")
-    return search(entries, asks, k, "double", lambda t: Rerank(t, size))
+    return search(entries, asks, k, "double", lambda t: Rerank(t, size, index))

@@ -97,11 +97,13 @@ def test_all_cells_in_order_of_distance():
     counts = r.integers(0, 9, index.cells)
     u = ann.unit(q)
     both = [ann._distance(h, c) for h, c in zip(index._halves(u), index.c, strict=True)]
-    for n, cells in enumerate(index.visit(q, counts, 60)):
+    for n, (cells, far) in enumerate(index.visit(q, counts, 60)):
         d = (both[0][n][:, None] + both[1][n]).ravel()
         order = np.argsort(d, kind="stable")
         need = int(np.searchsorted(np.cumsum(counts[order]), 60)) + 1
         assert cells == [c for c in order[:need] if counts[c]]
+        near = index.summed(q[n : n + 1], np.arange(index.cells))[0]
+        assert {c for c in range(index.cells) if counts[c] and near[c] <= far + 1e-9} == set(cells)  # the one number says which
 
 
 @pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
