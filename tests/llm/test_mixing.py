@@ -95,3 +95,13 @@ def test_hot_repeated_row_is_split(spark):
     assert mixed.columns == df.columns and mixed.filter("doc_id = 1").count() == sum(r.taken for r in hot) // 10
     assert mixed.count() == sum(r.taken // r.size for r in out)
     assert sorted(mixing.taken(df.repartition(5)).collect()) == sorted(out)
+
+
+def test_a_hot_unit_gives_each_of_its_rows(spark):
+    """A row repeated thousands of times: its rows are made by the thousand, none is lost, and their words are near the target."""
+    rows = [(7, "a b c", "x", "k")] * 4321 + [(i, "d e", "x", "k") for i in range(100, 400)] + [(9, "f g", "y", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, block string")
+    out = mixing.taken(df).collect()
+    assert len(out) == len(rows) and sum(r.doc_id == 7 for r in out) == 4321
+    x = [r for r in out if r.source_size > 10]
+    assert abs(sum(r.taken for r in x) - x[0].target) <= 3
