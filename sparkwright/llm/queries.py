@@ -114,6 +114,24 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8 is not drawn: sizes and targets."""
+    return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+#: Sources reach their caps in the order of the level at which they do; a run of the first k of them is right if the level that is left reaches the k-th and not the next one.
+MIX_TARGETS = """
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size) as n, 1 + (row_number() over (order by source nulls last) - 1) % 3 as w from d group by source),
+every as (select sum(n) as n, sum(w) as w from s),
+capped as (
+  select k.cap, (any_value(every.n) - 3 * coalesce(sum(s.n) filter (3.0 * s.n / s.w <= k.cap), 0)) / nullif(any_value(every.w) - coalesce(sum(s.w) filter (3.0 * s.n / s.w <= k.cap), 0), 0) as level
+  from (select 0.0 as cap union select 3.0 * n / w from s) k, s, every group by k.cap),
+level as (select max(level) as level from capped)
+select doc_id, size, s.n::bigint as source_size, round(least(3.0 * s.n, level * s.w), 3) as target from d join s on d.source is not distinct from s.source, level
+"""
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -122,6 +140,32 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def secret_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10 is known by its form."""
+    return op10_secret_scan(spark, sf_dir).drop("spans")
+
+
+SECRET_FORMS = """
+with kinds(kind, turn, pattern, least) as (values
+  ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+  ('access', 1, '(AKIA[A-Z0-9]+)', 16), ('hex', 2, '([0-9a-f]+)', 32)),
+m as (
+  select doc_id, kind, turn, least, string_split_regex(coalesce(text, ''), pattern) as between,
+    regexp_extract_all(coalesce(text, ''), pattern, 0) as found,
+    regexp_extract_all(coalesce(text, ''), pattern, 1) as value
+  from documents, kinds),
+e as (select *, unnest(range(1, len(found) + 1)) as i from m),
+spans as (
+  select doc_id, kind, turn, list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as low, length(found[i]) as size
+  from e where length(value[i]) >= least),
+g as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || low::bigint || ':' || (low + size)::bigint, ',' order by low, turn) as line
+  from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(line, '')) as base_sha256 from documents d left join g using (doc_id)
+"""
+
+
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -184,8 +228,8 @@ from m group by doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op6_passages, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan, op11_whitening, op12_vector_codes, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_top_k, op4_url_filter, op5_near_dup, op6_passages, op7_warc, op8_source_mix, op9_nearest, op10_secret_scan, op11_whitening, op12_vector_codes, op13_line_dedup, mix_targets, secret_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_near_dup": OP5_SQL, "op7_warc": OP7_SQL, "op12_vector_codes": OP12_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op3_top_k": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_near_dup": OP5_SQL, "op7_warc": OP7_SQL, "op12_vector_codes": OP12_SQL, "op13_line_dedup": OP13_SQL, "mix_targets": MIX_TARGETS, "secret_forms": SECRET_FORMS}
