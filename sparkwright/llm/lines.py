@@ -142,7 +142,9 @@ class LineRuns:
             frequent = self._write(self.spark.table(names[0]).filter(F.col("n") >= self.least).select(*HASHES))
             table = self.spark.table(frequent)
             hot = F.broadcast(table.join(F.broadcast(self.hot.distinct()), HASHES, "left_semi").withColumn("hot", F.lit(True)))
-            rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("at", "key"))
+            # the hash is made first, or each line's row would carry its whole text through the generator
+            rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(lines_of(F.col("text")), key_of).alias("keys"))
+            rows = rows.select("doc_id", "text_hash", F.posexplode("keys").alias("at", "key"))
             rows = rows.filter(F.char_length("key") >= self.shortest).select("doc_id", "text_hash", "at", *hashes(F.col("key"))).join(hot, HASHES, "left")
             # a hot key's lines take other hashes, each its own: they are settled, and go wherever there is room
             spread = F.when(F.col("hot"), F.xxhash64("doc_id", "text_hash", "at")).otherwise(F.col("h1"))
