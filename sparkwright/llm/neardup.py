@@ -16,7 +16,8 @@ with a probability near their Jaccard similarity, the more so the nearer the bas
    outside the largest component meets each part of all, so few stragglers cost few rows. A link between two classes that
    share a bucket is missed only where the two are in one component anyway.
 
-Pairs of a bucket are never rows of a table. No step has more than two parts of a bucket (`most` members each, and
+Documents come to their classes, and to a repeated set's component, by joins on the set: a set that very many documents have is
+split there by adaptive execution only. Pairs of a bucket are never rows of a table. No step of the search has more than two parts of a bucket (`most` members each, and
 `most_hashes` shingles in all) in one task, and none brings ids, links or components to the driver.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words than a
@@ -350,7 +351,8 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b) to (node, component): each linked node with the smallest node that it reaches.
 
     Large-star and small-star steps in turn (Kiveris et al. 2014) make every component a star around its smallest node;
-    a step is an aggregation of minima and a join back, so a node with many links meets in no one task.
+    a step is an aggregation of minima, partial before its shuffle, and a join back by node. Where a node has very many
+    links, the rows of that join are split by adaptive execution only.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:

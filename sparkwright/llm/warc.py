@@ -54,7 +54,8 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     """A `value` string for each page: its record without the end. Payloads of `least` bytes and more are kept once.
 
     Of equal payloads the one with the smallest page_id is a response, the others refer to it. Equality is that of
-    SHA-256; the smallest ids are found by an aggregation and joined back by digest, so no group meets in one task.
+    SHA-256; the smallest ids are found by an aggregation, partial before its shuffle, and joined back by digest, ids and
+    digests alone: the rows of a payload that very many pages have are split there by adaptive execution only.
     """
     check_columns(pages, [page_id, url, payload])
     text = F.coalesce(F.col(payload), F.lit(""))
