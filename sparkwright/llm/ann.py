@@ -7,8 +7,9 @@ visited hold `share` of all entries, or `least` entries. The cells visited are t
 last one's, so that one number says which they are: the query goes with it to each chunk that has any of them (cells lie in
 chunks of neighbours), and there the entries of those cells are reranked by their cosine in doubles.
 
-Of vectors without structure, as in the tests' table, some 0.3 of the entries must be visited for a recall of 0.94; the
-share is a parameter.
+How large a share must be visited depends on the vectors. It is measured on the rows that the centroids are fitted to: for the
+first of them as queries, what share comes before each of their true neighbours there; `recall` of these shares are below
+the one taken (or `share` fixes it). With more rows than the sample's neighbours are nearer, so it errs to the safe side.
 
 Cases: vectors null, empty, zero, or with a null or non-finite component take no part, nor do rows with a null vec_id;
 vectors of different lengths are not compared; rows that repeat a query's vec_id are its own and no candidates of it, and
@@ -71,6 +72,21 @@ class MultiIndex:
         a, b = (_distance(h, c) for h, c in zip(self._halves(unit(x)), self.c, strict=True))
         return a[:, cells // len(self.c[1])] + b[:, cells % len(self.c[1])]
 
+    def share(self, sample: np.ndarray, k: int, recall: float, asks: int = 256) -> float:
+        """The share of the sample's entries to visit for `recall` of the k nearest of its first `asks` rows."""
+        u, cell = unit(sample), self.cell(sample)
+        asks, k = min(asks, len(u)), min(k, len(u) - 1)
+        if k < 1:
+            return 1.0
+        near = u[:asks] @ u.T
+        near[np.arange(asks), np.arange(asks)] = -np.inf
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        needed = []
+        for i in range(asks):
+            far = self.summed(sample[i : i + 1], cell)[0]
+            needed.append(np.searchsorted(np.sort(far), far[best[i]], side="right") / len(far))
+        return float(np.quantile(np.concatenate(needed), recall))
+
     def visit(self, x: np.ndarray, counts: np.ndarray, enough: float | np.ndarray) -> Iterator[tuple[list[int], float]]:
         """For each query, the cells with entries that it visits, the nearest first, and the last one's summed distance. enough: entries, for all queries or for each."""
         width, counts = len(self.c[1]), counts.tolist()
@@ -141,21 +157,23 @@ def _chunks(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, deal
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 256, sample: int = 20_000, share: float = 0.3, least: int = 300, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, centroids: int = 256, sample: int = 20_000, recall: float = 0.96, share: float | None = None, least: int = 300, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query picks, the k other rows of largest cosine that were found."""
     check_columns(rows, [vec_id, embedding])
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asks"))
     rows = cut(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)))
     found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     for size in sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect()):  # one index for each length there is
-        found = found.unionByName(_nearest(rows.filter(F.size("embedding") == size), size, k, centroids, sample, share, least))
+        found = found.unionByName(_nearest(rows.filter(F.size("embedding") == size), size, k, centroids, sample, recall, share, least))
     return ranked(found, k)
 
 
-def _nearest(same: DataFrame, size: int, k: int, centroids: int, sample: int, share: float, least: int) -> DataFrame:
+def _nearest(same: DataFrame, size: int, k: int, centroids: int, sample: int, recall: float, share: float | None, least: int) -> DataFrame:
     """(query_id, vec_id, score) for vectors of one length."""
     few = first_by_hash(same.select("vec_id", "embedding", row_hash().alias("hash")), "hash", min(sample, (1 << 23) // size)).toArrow()
-    index = MultiIndex(matrix(few.column("embedding"), size), centroids)
+    few = matrix(few.column("embedding"), size)
+    index = MultiIndex(few, centroids)
+    share = index.share(few, k, recall) if share is None else share
     entries = cut(add_columns(same, "embedding", [("cell", T.IntegerType())], lambda v: ((c,) for c in index.cell(np.array(v, np.float64).reshape(-1, size)).tolist())))
     counts = np.zeros(index.cells, np.int64)
     for r in entries.groupBy("cell").count().collect():  # a row for each cell

@@ -209,3 +209,20 @@ def test_top_k_of_huge_doubles(spark):
     v = [[int(np.floor(256 * c)) for c in r] for r in x]
     score = [(-sum(a * b for a, b in zip(v[1], v[j], strict=True)), j) for j in range(len(x)) if j != 1]
     assert [got[1, k + 1] for k in range(5)] == [(j, -s) for s, j in sorted(score)[:5]]
+
+
+def test_share_follows_the_structure(spark):
+    """Vectors in groups need a small share of the entries, those without structure a large one; the recall is reached on both."""
+    r = np.random.default_rng(8)
+    flat = r.normal(size=(3000, 32))
+    groups = r.normal(size=(60, 32))[r.integers(0, 60, 3000)] + 0.2 * r.normal(size=(3000, 32))
+    share = {}
+    for name, x in (("flat", flat), ("groups", groups)):
+        x = x.astype(np.float32)
+        share[name] = ann.MultiIndex(x.astype(float), 64).share(x.astype(float), 5, 0.96)
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        q = np.arange(0, 3000, 50)
+        want = {(a, c) for a, _, c, _ in ranks(u[q] @ u.T, np.arange(3000), q)}
+        got = {(g.query_id, g.vec_id) for g in ann.nearest(frame(spark, x), asks(), centroids=64, least=10).collect()}
+        assert len(want & got) >= 0.9 * len(want)
+    assert share["groups"] < 0.1 < share["flat"]
