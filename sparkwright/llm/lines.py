@@ -10,6 +10,8 @@ A line's key is the line without ASCII white space at its ends and with A-Z lowe
 3. Keys with `least` documents or more over all runs are frequent. A document's places of frequent lines are found by a
    merge join of its lines' hashes with their table, collected by document, and the other places' lines are joined again.
 
+Runs are external tables of the session's catalog, in the shared folder, and are dropped when they have gone into another
+or are no longer needed; one whose job dies in between leaves its tables, named line_run_*, to whoever cleans up.
 Runs have the same buckets, so neither the anti-joins nor compaction nor the last join moves or sorts a run again. A key
 that over a ten-thousandth of a batch's (document, key) pairs have is hot: there are under 10,000 a batch, they are broadcast,
 and their lines are spread over all tasks, so no key meets in one. No text goes through a shuffle but in the last join, by
