@@ -19,6 +19,7 @@ other columns are kept, and one named as a result gives way to it.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 from itertools import accumulate
@@ -37,7 +38,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Runs that the test looks at, and those of them that are set aside: digests by length, UUIDs, and names of plain or joined words and short numbers, if their words compress.
-STRINGS = re.compile(r"[A-Za-z0-9+/_=.-]+")
+SIGN = r"[A-Za-z0-9+/_=.-]"
 PARTS = re.compile(r"[^.]+")
 LETTER = re.compile(r"[A-Za-z]")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
@@ -75,38 +76,61 @@ def _plain(name: str, enc: Encoder, limit: float) -> bool:
     return letters < 6 or letters >= limit * tokens
 
 
-def _random(s: str, enc: Encoder, most: float, known: frozenset[str]) -> bool:
-    """Whether a string has so few characters per token that it is no writing. One shaped as a name is only if its letters, six or more, don't compress."""
-    if not LETTER.search(s) or s in known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
-        return False
-    n = len(s)
-    return n < most * (1 - 1.6 / n) * len(enc.encode(s)) and not (_named(s) and _plain(s, enc, most * (1 - 25 / n**2)))
+@functools.cache
+def strings(shortest: int) -> re.Pattern:
+    """Whole runs of at least so many signs."""
+    return re.compile(f"(?<!{SIGN}){SIGN}{{{shortest},}}")
 
 
-def random_spans(text: str, enc: Encoder, most: float, known: frozenset[str], shortest: int = 8) -> list[tuple[str, int, int]]:
+class Judge(dict):
+    """Whether strings are random: have so few characters per token that they are no writing. Of short strings, some 50,000 verdicts are kept."""
+
+    def __init__(self, enc: Encoder, most: float, known: frozenset[str]):
+        self.enc, self.most, self.known = enc, most, known
+
+    def __missing__(self, s: str) -> bool:
+        n = len(s)
+        out = n < self.most * (1 - 1.6 / n) * len(self.enc.encode(s)) and self._counts(s)
+        if n <= 40:
+            if len(self) >= 50_000:
+                self.clear()
+            self[s] = out
+        return out
+
+    def _counts(self, s: str) -> bool:
+        """Not so for strings without letters, known ones, digests and ids, and what is shaped as a name, if its letters are few or compress."""
+        if not LETTER.search(s) or s in self.known or DIGEST.fullmatch(s) or UUID.fullmatch(s):
+            return False
+        return not (_named(s) and _plain(s, self.enc, self.most * (1 - 25 / len(s) ** 2)))
+
+
+def random_spans(text: str, judge: Judge, shortest: int = 8) -> list[tuple[str, int, int]]:
     """Random strings. Of parts joined by dots those that are, or else the whole if that is."""
     out = []
-    for m in STRINGS.finditer(text):
+    for m in strings(shortest).finditer(text):
         s = m[0]
-        if len(s) < shortest:
+        if "." not in s:
+            if judge[s]:
+                out.append(("random", *m.span()))
             continue
-        parts = [(a + m.start(), b + m.start()) for a, b in (p.span() for p in PARTS.finditer(s))]
-        found = [(a, b) for a, b in parts if b - a >= shortest and _random(text[a:b], enc, most, known)]
+        at = m.start()
+        parts = [p.span() for p in PARTS.finditer(s)]
+        found = [(a, b) for a, b in parts if b - a >= shortest and judge[s[a:b]]]
         if not found and len(parts) > 1:
             a, b = parts[0][0], parts[-1][1]
-            found = [(a, b)] if b - a >= shortest and _random(text[a:b], enc, most, known) else []
-        out += [("random", a, b) for a, b in found]
+            found = [(a, b)] if b - a >= shortest and judge[s[a:b]] else []
+        out += [("random", a + at, b + at) for a, b in found]
     return out
 
 
-def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str], shortest: int = 8) -> list[tuple[str, int, int]]:
+def spans(text: str | None, judge: Judge, shortest: int = 8) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind. A random string that meets a span known by form is left to that."""
     if not text:
         return []
     out = base_spans(text)
     taken, k = sorted((a, b) for _, a, b in out), 0
     reach = list(accumulate((b for _, b in taken), max))  # how far the spans up to each one reach
-    for s in random_spans(text, enc, most, known, shortest):  # by start and without overlap, so k only grows
+    for s in random_spans(text, judge, shortest):  # by start and without overlap, so k only grows
         while k < len(taken) and taken[k][0] < s[2]:
             k += 1
         if not k or reach[k - 1] <= s[1]:
@@ -114,6 +138,12 @@ def spans(text: str | None, enc: Encoder, most: float, known: frozenset[str], sh
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+@functools.lru_cache(2)
+def _judge(vocabulary: str, pattern: str, most: float, known: frozenset[str]) -> Judge:
+    """The process's, as a Python worker judges many slices."""
+    return Judge(encoder(vocabulary, pattern), most, known)
+
+
 def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found: str = "secrets", most: float = 2.0, known: Iterable[str] = (), shortest: int = 8, drop: bool = False) -> DataFrame:
     """df and a column of the spans of each whole text: array of (kind, start, end).
 
@@ -123,8 +153,8 @@ def scan(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", found
     known = frozenset(known)
 
     def work(values: list):
-        enc = encoder(vocabulary, pattern)
-        return (([{"kind": k, "start": a, "end": b} for k, a, b in spans(x, enc, most, known, shortest)],) for x in values)
+        judge = _judge(vocabulary, pattern, most, known)
+        return (([{"kind": k, "start": a, "end": b} for k, a, b in spans(x, judge, shortest)],) for x in values)
 
     return add_columns(df, text, [(found, SPANS)], work, drop)
 
@@ -134,9 +164,9 @@ def redact(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", mar
     known = frozenset(known)
 
     def work(values: list):
-        enc = encoder(vocabulary, pattern)
+        judge = _judge(vocabulary, pattern, most, known)
         for x in values:
-            found, out, at = spans(x, enc, most, known, shortest), [], 0
+            found, out, at = spans(x, judge, shortest), [], 0
             for _, a, b in found:
                 if a >= at:
                     out += [x[at:a], mark]

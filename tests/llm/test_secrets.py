@@ -16,7 +16,7 @@ def enc():
 
 
 def found(text, enc):
-    return secrets.spans(text, enc, 2.0, frozenset())
+    return secrets.spans(text, secrets.Judge(enc, 2.0, frozenset()))
 
 
 def test_base_kinds():
@@ -40,7 +40,7 @@ def test_random_strings(enc):
     assert found("see zQ3xV9kLp0RtW7bN2mYc here", enc) == [("random", 4, 24)]
     for clean in ("d41d8cd98f00b204e9800998ecf8427e".upper(), "123e4567-e89b-12d3-a456-426614174000", "chapter_12-of-the-long-story", "internationalization2024", "the longest of ordinary words", "12345678901234567890123"):
         assert found(clean, enc) == [], clean
-    assert secrets.spans("zQ3xV9kLp0RtW7bN2mYc", enc, 2.0, frozenset(["zQ3xV9kLp0RtW7bN2mYc"])) == []
+    assert secrets.spans("zQ3xV9kLp0RtW7bN2mYc", secrets.Judge(enc, 2.0, frozenset(["zQ3xV9kLp0RtW7bN2mYc"]))) == []
 
 
 def test_against_plain_scan(spark, small, enc):
@@ -108,7 +108,7 @@ def test_by_length(enc, small, spark):
         assert sum(not found(".".join(pick(both, size) for _ in range(3)), enc) for _ in range(500)) <= 10, size
     assert found("www.example.com/index.html, version 2.14.0-beta1, and so on...then.More", enc) == []
     texts = [x.text for x in spark.read.parquet(f"{small}/documents.parquet").collect() if x.text]
-    spans = [(x, s) for x in texts for s in secrets.random_spans(x, enc, 2.0, frozenset())]
+    spans = [(x, s) for x in texts for s in secrets.random_spans(x, secrets.Judge(enc, 2.0, frozenset()))]
     assert sum(x[a:b].isalpha() for x, (_, a, b) in spans) <= 5
 
 
