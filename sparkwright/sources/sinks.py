@@ -36,6 +36,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
+#: Records in an XML file at most. Spark reads such a file by one task, whole.
+XML_RECORDS = 50_000
+
+
 def write_xml(df: DataFrame, path: str, root: str = "rows", row: str = "row") -> None:
-    """An element for each row; columns whose names begin with _ are its attributes."""
-    df.write.format("xml").option("rootTag", root).option("rowTag", row).save(path)
+    """An element for each row; columns whose names begin with _ are its attributes. Files hold XML_RECORDS rows at most, so none grows with the input."""
+    df.write.format("xml").option("maxRecordsPerFile", XML_RECORDS).option("rootTag", root).option("rowTag", row).save(path)

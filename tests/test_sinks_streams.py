@@ -99,3 +99,10 @@ def test_the_last_row_ends_all_hours(spark, tmp_path):
     counts = checks.valid_per_hour(checks.read_codes(spark, str(tmp_path / "in")))
     checks.start(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert {(r.hour.hour, r.valid, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(10, True, 1), (23, False, 2)}
+
+
+def test_xml_files_are_bounded(spark, tmp_path):
+    """A partition of many rows becomes several files, each of which a task reads whole, and all rows come back."""
+    sinks.write_xml(spark.range(120_000).coalesce(1), path := str(tmp_path / "x"))
+    assert len(list((tmp_path / "x").glob("part-*"))) == 3
+    assert spark.read.format("xml").option("rowTag", "row").schema("id long").load(path).distinct().count() == 120_000
