@@ -93,7 +93,7 @@ class Transducer:
     #: Bytes after which a long piece's settled tokens are emitted.
     STRIDE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_steps: int = 100_000, max_pairs: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_steps: int = 100_000, max_pairs: int = 300_000):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size = {v: len(k) for k, v in ranks.items()}
@@ -236,7 +236,7 @@ class _Pieces(dict):
 class Encoder:
     """Splits texts by a pattern and encodes each piece. max_pieces bounds the memory of pieces already met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 240_000):
         self.find, self.fst = regex.compile(pattern).findall, Transducer(ranks)
         self.pieces = _Pieces(self.fst, max_pieces)
         self.whole = StreamDecoder.whole_tokens(self.fst.bytes_of)

@@ -101,3 +101,17 @@ def test_frame(spark, both):
 def test_missing_column(spark):
     with pytest.raises(ValueError, match="text"):
         bpe.encode(spark.range(1), PATH, P.PATTERN)
+
+
+def test_many_pieces_are_kept():
+    """200,000 different pieces, read twice, are made once."""
+    e = bpe.Encoder({bytes([i]): i for i in range(256)}, r"\S+")
+    made, old = [0], e.fst.encode_piece
+
+    def count(piece):
+        made[0] += 1
+        return old(piece)
+
+    e.fst.encode_piece = count
+    text = " ".join(map(str, range(200_000)))
+    assert e.encode(text) == e.encode(text) and made[0] == 200_000
